@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["policies"]
+AREAS = ["policies", "texts"]
 
 
 def load_all() -> tuple[dict, dict]:

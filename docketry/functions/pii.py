@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry import vocab
+from docketry.functions.text import let
 
 
 def _java(pattern: str, ignore_case: bool) -> str:
@@ -16,16 +19,34 @@ def sanitize_text(col: Column, patterns: list[tuple] = vocab.PII_PATTERNS) -> Co
     """Mask each kind of personal data in turn -> struct(text, counts).
 
     A stage counts its matches on the text the stage before it produced, so an
-    already masked span is never counted again. The repeated sub-expressions are
-    shared by Spark's code generation.
+    already masked span is never counted again.
     """
-    text, found = col, []
-    for kind, placeholder, pattern, ignore_case in patterns:
+    kinds = [p[0] for p in patterns]
+
+    def stage(i: int) -> Callable[[Column], Column]:
+        kind, placeholder, pattern, ignore_case = patterns[i]
         regex = _java(pattern, ignore_case)
-        found += [F.lit(kind), F.regexp_count(text, F.lit(regex))]
-        text = F.regexp_replace(text, regex, placeholder)
-    counts = F.map_filter(F.create_map(*found), lambda _, n: n > 0)
-    return F.struct(text.alias("text"), counts.alias("counts"))
+        return lambda s: F.struct(
+            F.regexp_replace(s["text"], regex, placeholder).alias("text"),
+            *[s[k].alias(k) for k in kinds[:i]],
+            F.regexp_count(s["text"], F.lit(regex)).alias(kind))
+
+    state = F.struct(col.alias("text"))
+    for i in range(len(patterns)):
+        state = let(state, stage(i))
+
+    def result(s: Column) -> Column:
+        counts = F.create_map(*[v for k in kinds for v in (F.lit(k), s[k])])
+        return F.struct(s["text"].alias("text"), F.map_filter(counts, lambda _, n: n > 0).alias("counts"))
+
+    return let(state, result)
+
+
+def mask_text(col: Column, patterns: list[tuple] = vocab.PII_PATTERNS) -> Column:
+    """Only the text of `sanitize_text`: one replacement per kind, nothing is counted."""
+    for _, placeholder, pattern, ignore_case in patterns:
+        col = F.regexp_replace(col, _java(pattern, ignore_case), placeholder)
+    return col
 
 
 def pii_counts(col: Column, patterns: list[tuple] = vocab.PII_PATTERNS) -> Column:
@@ -35,10 +56,9 @@ def pii_counts(col: Column, patterns: list[tuple] = vocab.PII_PATTERNS) -> Colum
 
 def sensitivity_level(counts: Column) -> Column:
     """low without findings, high with an id, card or account number, else medium."""
-    grave = F.arrays_overlap(
-        F.map_keys(counts), F.array(*[F.lit(t) for t in vocab.HIGH_SENSITIVITY_TYPES])
-    )
-    return F.when(F.size(counts) == 0, "low").when(grave, "high").otherwise("medium")
+    grave_types = F.array(*[F.lit(t) for t in vocab.HIGH_SENSITIVITY_TYPES])
+    return let(counts, lambda c: F.when(F.size(c) == 0, "low").when(
+        F.arrays_overlap(F.map_keys(c), grave_types), "high").otherwise("medium"))
 
 
 def merge_counts(*counts: Column) -> Column:
@@ -62,14 +82,17 @@ def redact_text(col: Column, enabled: bool = True) -> Column:
     none = F.array().cast("array<string>")
     if not enabled:
         return F.struct(col.alias("text"), none.alias("types"))
-    masked = sanitize_text(col)
     eight = F.lit(vocab.EIGHT_DIGIT_ID)
-    more = F.when(F.rlike(masked["text"], eight), F.array(F.lit("id"))).otherwise(none)
-    types = F.array_sort(F.array_union(F.map_keys(masked["counts"]), more))
-    return F.struct(
-        F.regexp_replace(masked["text"], eight, "[ID]").alias("text"),
-        F.coalesce(types, none).alias("types"),
-    )
+
+    def hide(masked: Column) -> Column:
+        more = F.when(F.rlike(masked["text"], eight), F.array(F.lit("id"))).otherwise(none)
+        types = F.array_sort(F.array_union(F.map_keys(masked["counts"]), more))
+        return F.struct(
+            F.regexp_replace(masked["text"], eight, "[ID]").alias("text"),
+            F.coalesce(types, none).alias("types"),
+        )
+
+    return let(sanitize_text(col), hide)
 
 
 def blocked_category(col: Column, categories: list[str] = vocab.BLOCKED_CATEGORIES) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_ws(col: Column) -> Column:
     """Every run of white space becomes one blank; ends are trimmed; NULL becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), SPACE + "+", " "))
@@ -44,18 +51,18 @@ def keyword_overlap(query: Column, content: Column) -> Column:
     return overlap_of_terms(terms_of(query), terms_of(content))
 
 
-def overlap_of_terms(q: Column, c: Column) -> Column:
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(
-        F.size(term_intersection(q, c)) / F.size(q)
-    )
+def overlap_of_terms(query: Column, content: Column) -> Column:
+    """The same over term arrays."""
+    return let(query, lambda q: F.when(F.size(q) == 0, F.lit(0.0)).otherwise(
+        F.size(F.array_intersect(q, content)) / F.size(q)))
 
 
 def without_repeats(lines: Column) -> Column:
     """Drop each element equal, ignoring case, to the one before it."""
-    return F.filter(
-        lines,
-        lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.coalesce(F.get(lines, i - 1), F.lit("")))),
-    )
+    return let(lines, lambda all_: F.filter(
+        all_,
+        lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.coalesce(F.get(all_, i - 1), F.lit("")))),
+    ))
 
 
 def tidy_lines(col: Column, drop_marks: bool) -> Column:
