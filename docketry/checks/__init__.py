@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["policies", "texts"]
+AREAS = ["policies", "texts", "access", "reporting"]
 
 
 def load_all() -> tuple[dict, dict]:

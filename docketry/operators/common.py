@@ -38,3 +38,23 @@ def top_per(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "ra
     """
     over = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(over)).filter(F.col(rank) <= n)
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, block: int = 4096) -> DataFrame:
+    """df with NULLs of `value` filled by the last known one before them, in blocks of `order`."""
+    cut = df.withColumn("block", F.floor(F.col(order) / block))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col(value).isNotNull(), F.col(order))
+    blocks = (
+        cut.groupBy(*keys, "block").agg(F.max_by(value, known).alias("last_known"))
+        .withColumn("carried", F.last("last_known", ignorenulls=True).over(earlier)).drop("last_known")
+    )
+    inside = (
+        Window.partitionBy(*keys, "block").orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        cut.join(blocks, [*keys, "block"])
+        .withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "carried"))
+        .drop("block", "carried")
+    )
