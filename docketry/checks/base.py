@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.session import UNION_PARTITIONING
 from docketry.sources.bindings import bind, binding_sql
 from docketry.sources.tables import read_table
 
@@ -20,6 +21,7 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        spark.conf.set(*UNION_PARTITIONING)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)

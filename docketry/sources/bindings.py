@@ -136,7 +136,7 @@ select o_orderkey as document_id, o_custkey % 15 as user_id,
   'file-' || cast(o_orderkey % 5000 as varchar(20)) as content_hash
 from orders""",
     "questions": """
-select b.item_id as question_id, b.item_id % 15 as user_id, b.text as question, e.embedding as vector
+select b.item_id as question_id, b.item_id % 15 as user_id, replace(b.text, chr(10), ' ') as question, e.embedding as vector
 from benchmark b join embeddings e on e.vec_id = b.item_id""",
     "vectors": """
 select vec_id % 200 as document_id, @div(vec_id, 200) as position, embedding as vector from embeddings""",
