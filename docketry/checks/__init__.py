@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["policies", "texts", "access", "reporting", "retrieval"]
+AREAS = ["policies", "texts", "access", "reporting", "retrieval", "layout"]
 
 
 def load_all() -> tuple[dict, dict]:

@@ -100,7 +100,8 @@ def shown(df, *columns):
     return df.withColumnRenamed("query_id", "question_id").select("question_id", *columns)
 
 
-SCORE = F.round("score", 6).alias("score")
+def score():
+    return F.round("score", 6).alias("score")
 
 
 @query("cosine_similarity", """
@@ -143,22 +144,22 @@ def _(d: Data):
 
 @query("semantic_topk", "select question_id, chunk_id, round(score, 6) as score, rank from semantic")
 def _(d: Data):
-    return shown(semantic(d), "chunk_id", SCORE, "rank")
+    return shown(semantic(d), "chunk_id", score(), "rank")
 
 
 @query("keyword_ilike", "select question_id, chunk_id, cast(score as double) as score, rank from keyword")
 def _(d: Data):
-    return shown(keyword(d), "chunk_id", SCORE, "rank")
+    return shown(keyword(d), "chunk_id", score(), "rank")
 
 
 @query("hybrid_union", "select question_id, chunk_id, round(cast(score as double), 6) as score from merged")
 def _(d: Data):
-    return shown(op.hybrid_union(semantic(d), keyword(d)), "chunk_id", SCORE)
+    return shown(op.hybrid_union(semantic(d), keyword(d)), "chunk_id", score())
 
 
 @query("hybrid_topk", "select question_id, chunk_id, round(score, 6) as score, rank from hybrid")
 def _(d: Data):
-    return shown(hybrid(d), "chunk_id", SCORE, "rank")
+    return shown(hybrid(d), "chunk_id", score(), "rank")
 
 
 @query("retrieve", """
@@ -166,7 +167,7 @@ select h.question_id, h.chunk_id, d.title, c.page, md5(c.content) as digest, rou
 from hybrid h join chunk_ids c on c.chunk_id = h.chunk_id join docs d on d.document_id = h.document_id""")
 def _(d: Data):
     found = answers.retrieve(queries(d), chunks(d), d.vectors, d.docs, d.users, d.user_roles, d.grants)
-    return shown(found, "chunk_id", "title", "page", F.md5("content").alias("digest"), SCORE, "rank")
+    return shown(found, "chunk_id", "title", "page", F.md5("content").alias("digest"), score(), "rank")
 
 
 @query("top_document", """

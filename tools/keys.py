@@ -1,14 +1,13 @@
 """Print the registered keys of the named areas."""
+import importlib
 import os
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from docketry.checks import base  # noqa: E402
-import importlib  # noqa: E402
+from docketry.checks import AREAS, base  # noqa: E402
 
-for area in sys.argv[1:]:
+for area in AREAS:
+    before = set(base.QUERIES)
     importlib.import_module(f"docketry.checks.{area}")
-    for key, fn in base.QUERIES.items():
-        if fn.__closure__ and any(
-            getattr(c.cell_contents, "__module__", "") == f"docketry.checks.{area}" for c in fn.__closure__):
-            print(key, end=" ")
+    if area in sys.argv[1:]:
+        print(*[k for k in base.QUERIES if k not in before])
