@@ -13,6 +13,7 @@ from docketry.checks.base import Data, common, query
 from docketry.functions import geometry, values
 from docketry.operators import layout as op
 from docketry.plans import vehicle
+from docketry.session import settle
 
 TERMS = {"car": "vehicle_number", "number": "vehicle_number", "id": "id_number",
          "call": "policy_number", "the": "agent_number", "The": "agent_number"}
@@ -76,7 +77,7 @@ def term_labels(d: Data):
 
 
 def hits(d: Data):
-    return op.label_hits(op.visual_rows(words(d)), ANCHORS)
+    return op.label_hits(op.visual_rows(words(d)), ANCHORS, heights=op.median_word_height(words(d)))
 
 
 @query("median_word_height", """
@@ -264,8 +265,8 @@ def _(d: Data):
 
 @query("resolve_text_field")
 def _(d: Data):
-    rows = op.visual_rows(words(d))
-    labels = op.label_hit_dedupe(op.label_hits(rows, ANCHORS)).filter("field = 'policy_holder'")
+    rows = settle(op.visual_rows(words(d)))
+    labels = op.label_hit_dedupe(op.label_hits(rows, ANCHORS, heights=op.median_word_height(words(d)))).filter("field = 'policy_holder'")
     return op.resolve_text_field(labels, rows, ANCHORS).select("doc_id", "label_id", "field", "value")
 
 

@@ -9,6 +9,7 @@ where a word can score, so a crowded page is worked on band by band.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,20 +61,23 @@ def visual_rows(words: DataFrame, tol: float = 0.6) -> DataFrame:
     )
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, rows, opened = None, [], 0
+        page, rows, opened = None, deque(), 0
         for batch in batches:
             ids = []
-            for here, cy, high, most in zip(
-                zip(batch["doc_id"], batch["page"]), batch["cy"], batch["h"], batch["tallest"]):
-                if here != page:
-                    page, rows, opened = here, [], 0
-                rows = [r for r in rows if cy - r[0] <= tol * most]
-                mine = next((r for r in rows if abs(cy - r[0]) <= tol * max(r[1], high)), None)
-                if mine is None:
-                    mine = (cy, high, opened)
-                    rows.append(mine)
+            columns = [batch[c].tolist() for c in ("doc_id", "page", "cy", "h", "tallest")]
+            for doc, number, cy, high, most in zip(*columns):
+                if (doc, number) != page:
+                    page, rows, opened = (doc, number), deque(), 0
+                while rows and cy - rows[0][0] > tol * most:
+                    rows.popleft()
+                for row in rows:
+                    if cy - row[0] <= tol * max(row[1], high):
+                        break
+                else:
+                    row = (cy, high, opened)
+                    rows.append(row)
                     opened += 1
-                ids.append(mine[2])
+                ids.append(row[2])
             yield batch.assign(row_id=ids)
 
     schema = ", ".join(f"{c} {t}" for c, t in ordered.dtypes) + ", row_id int"
@@ -99,23 +103,35 @@ def _plausible(norm: Column, anchors: dict[str, list[str]], threshold: float) ->
     Decides what `match_label` compares. An Indel ratio of t leaves room for at most
     (1 - t) of both lengths in edits, and the edit distance is never above that number.
     """
-    known = F.array(*[
-        F.struct(F.lit(text).alias("text"), F.lit(len(text.split())).alias("n"))
-        for text in dict.fromkeys(text for _, text in _anchor_rows(anchors))])
+    texts = list(dict.fromkeys(text for _, text in _anchor_rows(anchors)))
+    by_words: dict[int, list[str]] = {}
+    for text in texts:
+        by_words.setdefault(len(text.split()), []).append(text)
+
+    def listed(some: list[str]) -> Column:
+        # text, length, allowed difference in length, most edits within that difference
+        slack = {t: max(3, len(t) // 4) for t in some}
+        return F.array(*[F.struct(
+            F.lit(t).alias("text"), F.lit(len(t)).alias("size"), F.lit(slack[t]).alias("slack"),
+            F.lit(int((2 * len(t) + slack[t]) * (1 - threshold) + 1e-9)).alias("room")) for t in some])
 
     def test(p: Column) -> Column:
-        words, size = F.size(F.split(p, " ")), F.length(p)
-
-        def alike(a: Column) -> Column:
-            long = F.length(a["text"])
-            close = F.abs(size - long) <= F.greatest(F.lit(3), F.floor(long / 4))
-            room = F.floor((size + long) * (1 - threshold) + 1e-9)
-            return ((a["n"] >= 2) & (words <= a["n"] + 1) & F.contains(p, a["text"])) | (
-                (a["n"] == words) & close & (F.levenshtein(p, a["text"]) <= room))
-
-        return F.exists(known, alike)
-
-    return let(norm, test)
+        found = F.lit(False)
+        for words in range(1, max(by_words) + 2):
+            alike, held = by_words.get(words, []), [
+                t for n in (words - 1, words) if n >= 2 for t in by_words.get(n, [])]
+            some = F.lit(False)
+            if alike:
+                some = some | F.exists(listed(alike), lambda a: (
+                    (F.abs(p["size"] - a["size"]) <= a["slack"])
+                    & (F.call_function("levenshtein", p["text"], a["text"], a["room"]) >= 0)))
+            if held:
+                some = some | F.exists(listed(held), lambda a: F.contains(p["text"], a["text"]))
+            found = F.when(p["words"] == words, some).otherwise(found)
+        return found
+
+    return let(F.struct(norm.alias("text"), F.length(norm).alias("size"),
+                        F.size(F.split(norm, " ")).alias("words")), test)
 
 
 def _match_normalized(phrases: DataFrame, anchors: dict[str, list[str]], threshold: float) -> DataFrame:
@@ -164,12 +180,18 @@ def match_label(phrases: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHOR
     return near.join(_match_normalized(near, anchors, threshold), "norm").select("phrase", "field", "score")
 
 
-def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, max_span: int = 4) -> DataFrame:
+def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, max_span: int = 4,
+               heights: DataFrame | None = None) -> DataFrame:
     """Labels among the words of `visual_rows`: runs of up to max_span words with small
-    gaps, read in both directions. Columns of a label plus its place in reading order."""
+    gaps, read in both directions. Columns of a label plus its place in reading order.
+
+    `heights` are the median word heights, where the caller has them already.
+    """
+    heights = median_word_height(rows) if heights is None else heights
+    rows = geo.with_center(rows)
     along = Window.partitionBy("doc_id", "page", "row_id").orderBy("x0", "cy", "word_idx")
     own = F.struct("text", F.regexp_replace("text", _LABEL_NOISE, "").alias("bare"), *BOX)
-    wide = rows.join(median_word_height(rows).withColumnRenamed("h", "median"), "doc_id").select(
+    wide = rows.join(heights.withColumnRenamed("h", "median"), "doc_id").select(
         "doc_id", "page", "row_id", F.row_number().over(along).alias("pos"),
         F.greatest(F.lit(20.0), 2.5 * F.col("median")).alias("gap"), own.alias("w0"),
         *[F.lead(own, k).over(along).alias(f"w{k}") for k in range(1, max_span)])
@@ -265,9 +287,11 @@ def label_word_relation(labels: DataFrame, words: DataFrame, positive: bool = Tr
 
     With `positive`, words that score 0 or less - they can never be chosen - are left out.
     """
-    met = _in_reach(labels, words, positive).withColumn("r", geo.relation_score(F.col("l"), F.col("w")))
-    rated = met.select("doc_id", "label_id", F.col("w.word_idx").alias("word_idx"),
-                       F.col("r.score").alias("score"), F.col("r.relation").alias("relation"), "l", "w")
+    # inline keeps the test on the score out of the join condition, where it would be
+    # worked out for every pair of a band instead of the few in reach
+    rated = _in_reach(labels, words, positive).select(
+        "doc_id", "label_id", F.col("w.word_idx").alias("word_idx"), "l", "w",
+        F.inline(F.array(geo.relation_score(F.col("l"), F.col("w")))))
     return rated.filter("score > 0") if positive else rated
 
 
@@ -283,13 +307,19 @@ def best_value_per_label(labels: DataFrame, words: DataFrame, numeric_only: bool
 
 # --- the vehicle number -------------------------------------------------------------------------
 def vehicle_candidate_score(words: DataFrame, labels: DataFrame,
-                            penalties: dict[str, float] = vocab.CLAIM_PENALTIES) -> DataFrame:
-    """(doc_id, word_idx, value, score, label, reason, page) of every 5 to 10 digit token."""
+                            penalties: dict[str, float] = vocab.CLAIM_PENALTIES,
+                            best: DataFrame | None = None) -> DataFrame:
+    """(doc_id, word_idx, value, score, label, reason, page) of every 5 to 10 digit token.
+
+    `best` is the numeric `best_value_per_label` of the labels, where it is known already.
+    """
+    if best is None:
+        best = best_value_per_label(
+            labels.filter(F.col("field").isin("vehicle_number", *penalties)), words, True)
     digits = normalize_registration(F.col("text"))
     tokens = words.withColumn("value", digits).filter(F.length("value").between(5, 10))
     plates = labels.filter("field = 'vehicle_number'")
-    chosen = best_value_per_label(
-        labels.filter(F.col("field").isin("vehicle_number", *penalties)), words, True).filter("score >= 45")
+    chosen = best.filter(F.col("l.field").isin("vehicle_number", *penalties) & (F.col("score") >= 45))
     values = chosen.filter("l.field = 'vehicle_number'").select("doc_id", "word_idx").distinct().withColumn(
         "is_value", F.lit(True))
     order = F.struct("l.field", F.bround(F.col("l.cy"), 0), -F.col("l.score"),
@@ -361,17 +391,26 @@ def _resolved(best: DataFrame, value: Column, source: Column | None = None) -> D
     ).filter(F.coalesce("value", F.lit("")) != "")
 
 
-def resolve_numeric_field(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """The digits of each label's value."""
+def numeric_values(best: DataFrame) -> DataFrame:
+    """The digits of each chosen value."""
     text = F.col("w.text")
     digits = normalize_registration(text)
-    return _resolved(best_value_per_label(labels, words, True),
-                     F.when(digits != "", digits).otherwise(F.trim(text)))
+    return _resolved(best, F.when(digits != "", digits).otherwise(F.trim(text)))
+
+
+def raw_values(best: DataFrame) -> DataFrame:
+    """Each chosen value as written."""
+    return _resolved(best, F.regexp_replace("w.text", VALUE_ENDS, ""))
+
+
+def resolve_numeric_field(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """The digits of each label's value."""
+    return numeric_values(best_value_per_label(labels, words, True))
 
 
 def resolve_raw_field(labels: DataFrame, words: DataFrame) -> DataFrame:
     """Each label's value as written."""
-    return _resolved(best_value_per_label(labels, words, True), F.regexp_replace("w.text", VALUE_ENDS, ""))
+    return raw_values(best_value_per_label(labels, words, True))
 
 
 def resolve_date_field(labels: DataFrame, words: DataFrame) -> DataFrame:
@@ -389,8 +428,9 @@ def resolve_text_field(labels: DataFrame, rows: DataFrame, anchors: dict[str, li
     """
     names = match_label(rows.select(F.col("text").alias("phrase")), anchors).select(
         F.col("phrase").alias("text"), F.lit(True).alias("is_label"))
+    rows = geo.with_center(rows)
     tops = rows.groupBy("doc_id", "page", "row_id").agg(F.min("cy").alias("row_top"))
-    marked = geo.with_center(rows.filter(F.rlike(F.col("text"), F.lit(r"(?U)\S")))).join(
+    marked = rows.filter(F.rlike(F.col("text"), F.lit(r"(?U)\S"))).join(
         names, "text", "left").join(tops, ["doc_id", "page", "row_id"])
     labels = geo.with_center(labels)
     left = labels.select("doc_id", "page", "label_id", _as_box(labels, "l"))

@@ -11,7 +11,7 @@ from docketry.functions.values import confidence_gate
 from docketry.operators import fields as fo
 from docketry.operators import layout as lo
 from docketry.operators import policies as po
-from docketry.session import literal_table
+from docketry.session import literal_table, settle
 
 COLUMNS = ["doc_id", "field", "value", "confidence", "source", "page", "label", "reason"]
 
@@ -51,20 +51,27 @@ def extract_vehicle_fields(
     spark = words.sparkSession
     classes = fo.document_type_scores(texts.withColumnRenamed("doc_id", "document_id"), terms).withColumnRenamed(
         "document_id", "doc_id")
-    rows = lo.visual_rows(words)
-    labels = lo.label_hit_dedupe(lo.label_hits(rows, anchors))
-    wanted = labels.join(extract_by_type(classes, field_specs(spark)), ["doc_id", "field"])
+    rows = settle(lo.visual_rows(words).drop("cy", "h"))
+    labels = settle(lo.label_hit_dedupe(lo.label_hits(rows, anchors)))
+    numbers = settle(lo.best_value_per_label(labels, rows, True))
+    modes = extract_by_type(classes, field_specs(spark))
 
-    def mode(name: str) -> DataFrame:
-        return wanted.filter(F.col("mode") == name).drop("mode")
+    def picked(name: str) -> DataFrame:
+        return modes.filter(F.col("mode") == name).select("doc_id", "field")
+
+    def wanted(name: str) -> DataFrame:
+        return labels.join(picked(name), ["doc_id", "field"], "left_semi")
+
+    def chosen(name: str) -> DataFrame:
+        return numbers.withColumn("field", F.col("l.field")).join(
+            picked(name), ["doc_id", "field"], "left_semi").drop("field")
 
     resolved = (
-        lo.resolve_numeric_field(mode("numeric"), words)
-        .unionByName(lo.resolve_raw_field(mode("raw"), words))
-        .unionByName(lo.resolve_date_field(mode("date"), words))
-        .unionByName(lo.resolve_text_field(mode("text"), rows, anchors))
+        lo.numeric_values(chosen("numeric")).unionByName(lo.raw_values(chosen("raw")))
+        .unionByName(lo.resolve_date_field(wanted("date"), rows))
+        .unionByName(lo.resolve_text_field(wanted("text"), rows, anchors))
     )
-    candidates = lo.best_candidate_by_value(lo.vehicle_candidate_score(words, labels))
+    candidates = lo.best_candidate_by_value(lo.vehicle_candidate_score(rows, labels, best=numbers))
     layout = lo.first_resolved_field(resolved).select(*COLUMNS).unionByName(
         lo.chosen_vehicle_number(candidates).select(*COLUMNS))
 
@@ -127,6 +134,7 @@ def process_vehicle_documents(
     new_texts = texts.join(first.select("doc_id"), "doc_id", "left_semi")
     new_words = words.join(first.select("doc_id"), "doc_id", "left_semi")
     fields, candidates, classes = extract_vehicle_fields(new_words, new_texts, anchors, terms)
+    fields = settle(fields)
     values = fields.select(F.col("doc_id").alias("document_id"), "field", "value", "confidence")
     plates = classes.select("doc_id", "type", F.col("confidence").alias("type_confidence")).join(
         fields.filter("field = 'vehicle_number'").select(

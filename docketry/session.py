@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared folder and go on from the table.
+
+    For results that several later steps read: they are computed once, outlive lost
+    executors, and have a known size when the next joins are planned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when `df` is shown to be small; else let Spark shuffle it."""
     small = df.limit(max_rows + 1).agg(F.count(F.lit(1))).first()[0] <= max_rows
