@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["policies", "texts", "access", "reporting", "retrieval", "layout"]
+AREAS = ["policies", "texts", "access", "reporting", "retrieval", "layout", "fields", "streams"]
 
 
 def load_all() -> tuple[dict, dict]:

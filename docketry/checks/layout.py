@@ -266,7 +266,7 @@ def _(d: Data):
 @query("resolve_text_field")
 def _(d: Data):
     rows = settle(op.visual_rows(words(d)))
-    labels = op.label_hit_dedupe(op.label_hits(rows, ANCHORS, heights=op.median_word_height(words(d)))).filter("field = 'policy_holder'")
+    labels = settle(op.label_hit_dedupe(op.label_hits(rows, ANCHORS)).filter("field = 'policy_holder'"))
     return op.resolve_text_field(labels, rows, ANCHORS).select("doc_id", "label_id", "field", "value")
 
 
