@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docketry.session import UNION_PARTITIONING
 from docketry.sources.bindings import bind, binding_sql
-from docketry.sources.tables import read_table
+from docketry.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,8 @@ class Data:
         spark.conf.set(*UNION_PARTITIONING)
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        df = read_table(self.spark, self.folder, name)
+        return spread(df, "doc_id") if name == "documents" else df
 
     def __getattr__(self, name: str) -> DataFrame:
         return bind(self.spark, self.folder, name)

@@ -25,6 +25,7 @@ from docketry.functions.values import (
 )
 from docketry.operators.common import top_per
 from docketry.operators.similarity import ratio
+from docketry.session import settle
 
 BAND = 64.0
 BOX = ["x0", "y0", "x1", "y1"]
@@ -190,15 +191,17 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     heights = median_word_height(rows) if heights is None else heights
     rows = geo.with_center(rows)
     along = Window.partitionBy("doc_id", "page", "row_id").orderBy("x0", "cy", "word_idx")
-    own = F.struct("text", F.regexp_replace("text", _LABEL_NOISE, "").alias("bare"), *BOX)
+    bare = F.nullif(F.regexp_replace("text", _LABEL_NOISE, ""), F.lit(""))
+    own = F.struct("text", bare.alias("bare"), *BOX)
+    max_span = min(max_span, 1 + max(len(text.split()) for _, text in _anchor_rows(anchors)))
     wide = rows.join(heights.withColumnRenamed("h", "median"), "doc_id").select(
         "doc_id", "page", "row_id", F.row_number().over(along).alias("pos"),
         F.greatest(F.lit(20.0), 2.5 * F.col("median")).alias("gap"), own.alias("w0"),
         *[F.lead(own, k).over(along).alias(f"w{k}") for k in range(1, max_span)])
     members = [F.col(f"w{k}") for k in range(max_span)]
 
-    def phrase(part: list[Column], name: str) -> Column:
-        return F.array_join(F.filter(F.array(*[m[name] for m in part]), lambda t: t != ""), " ")
+    def phrase(part: list[Column]) -> Column:
+        return F.btrim(F.concat_ws(" ", *[m["bare"] for m in part]), F.lit(" :.-"))
 
     spans, joined = [], F.lit(True)
     for n in range(1, max_span + 1):
@@ -208,13 +211,14 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
         part = members[:n]
         spans.append(F.when(joined, F.struct(
             F.lit(n).alias("span"),
-            F.btrim(phrase(part, "bare"), F.lit(" :.-")).alias("lr_norm"),
-            F.btrim(phrase(part[::-1], "bare"), F.lit(" :.-")).alias("rl_norm"))))
+            phrase(part).alias("lr_norm"),
+            (phrase(part[::-1]) if n > 1 else F.lit("")).alias("rl_norm"))))
     runs = wide.withColumn("s", F.explode(F.array_compact(F.array(*spans)))).select(
         "doc_id", "page", "row_id", "pos", *[f"w{k}" for k in range(max_span)], "s.*")
     threshold = vocab.LABEL_THRESHOLD
-    runs = runs.filter(_plausible(F.col("lr_norm"), anchors, threshold)
-                       | _plausible(F.col("rl_norm"), anchors, threshold))
+    # few runs are left; they are read three times below
+    runs = settle(runs.filter(_plausible(F.col("lr_norm"), anchors, threshold)
+                              | _plausible(F.col("rl_norm"), anchors, threshold)))
     matches = _match_normalized(
         runs.select(F.explode(F.array("lr_norm", "rl_norm")).alias("norm")), anchors, threshold)
 

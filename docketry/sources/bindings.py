@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.sources.tables import SCHEMAS, read_table
+from docketry.sources.tables import SCHEMAS, read_table, spread
 
 TEXTS = {
     "docs": """
@@ -158,10 +158,15 @@ def binding_sql(name: str, dialect: str) -> str:
     return re.sub(r"@(\w+)\(([^()]*)\)", word, TEXTS[name])
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    df = read_table(spark, folder, name)
+    return spread(df, "doc_id") if name == "documents" else df
+
+
 def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A domain table over the tables in `folder`."""
     text = binding_sql(name, "spark")
-    used = {t: read_table(spark, folder, t) for t in SCHEMAS if re.search(rf"\b(from|join) {t}\b", text)}
+    used = {t: _table(spark, folder, t) for t in SCHEMAS if re.search(rf"\b(from|join) {t}\b", text)}
     for table in used:
         text = re.sub(rf"\b(from|join) {table}\b", rf"\1 {{{table}}}", text)
     return spark.sql(text, **used)

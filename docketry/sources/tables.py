@@ -30,5 +30,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table that comes in fewer pieces than there are cores over all of them.
+
+    Only for small tables in one or two files, before costly work per row; a table with
+    enough pieces of its own is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     return {name: read_table(spark, folder, name) for name in (names or SCHEMAS)}
