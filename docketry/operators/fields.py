@@ -222,10 +222,10 @@ def latest_vehicle_document(users: DataFrame, docs: DataFrame, window: int = 10,
     picked = users.select("user_id").join(own, "user_id", "left")
     if not share_latest:
         return picked.select("user_id", F.col("own_id").alias("document_id")).filter("document_id is not null")
-    latest = thin.orderBy(*newest).limit(window).filter("has_fields").orderBy(*newest).limit(1).select(
-        F.lit(1).alias("one"), F.col("document_id").alias("any_id"))
-    return picked.withColumn("one", F.lit(1)).join(F.broadcast(latest), "one", "left").select(
-        "user_id", F.coalesce("own_id", "any_id").alias("document_id")).filter("document_id is not null")
+    latest = thin.orderBy(*newest).limit(window).filter("has_fields").agg(
+        F.max_by("document_id", F.struct("created_at", "document_id")).alias("any_id"))
+    return picked.select("user_id", F.coalesce("own_id", latest.scalar()).alias("document_id")).filter(
+        "document_id is not null")
 
 
 def resolve_document_by_hash(ids: DataFrame, vehicle_docs: DataFrame, docs: DataFrame) -> DataFrame:

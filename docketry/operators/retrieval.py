@@ -87,7 +87,8 @@ def keyword_ilike(
     ).groupBy("block").agg(F.collect_list("q").alias("asked"))
     text = chunks.select("chunk_id", "document_id", "position", "readers", F.lower("content").alias("folded"))
     if blocks == 1:
-        met = text.withColumn("block", F.lit(0).cast("long")).join(F.broadcast(asked), "block")
+        # one block of checked size: a single value that goes along with every task
+        met = text.withColumn("asked", asked.select("asked").scalar())
     else:
         parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         met = text.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn(
