@@ -428,7 +428,9 @@ def resolve_text_field(labels: DataFrame, rows: DataFrame, anchors: dict[str, li
 
     Taken from the nearest row below in the label's column, else from the left of the
     label's row, else from its right, else the best single word; words that are labels
-    themselves are left out. Words are joined from right to left.
+    themselves are left out. Words are joined from right to left. The nearest row below
+    may be any distance away, so a label meets all words of its page here; the pairs are
+    reduced to one row number per label before they are shuffled.
     """
     names = match_label(rows.select(F.col("text").alias("phrase")), anchors).select(
         F.col("phrase").alias("text"), F.lit(True).alias("is_label"))
