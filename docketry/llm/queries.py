@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, sql
-from docketry.llm.tables import read_table
+from docketry.llm import chat, quality, sql, url_filter
+from docketry.llm.tables import read_table, settle
 
 
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +31,25 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "formatted_chars", "valid")
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url judged by the host rules, or else by the trees."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    rules = [url_filter.Rule(*r) for r in (
+        ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))]
+    model = url_filter.train(url_filter.weak_labels(pages))
+    return url_filter.judge(pages, "page_id", rules, model)
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and the verdict of its distance from its language."""
+    docs = read_table(spark, folder, "documents")
+    return quality.judge(docs, quality.references(docs)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
+    "op3_quality_rules": op3_quality_rules,
     "op6_chat_format": op6_chat_format,
 }
 
