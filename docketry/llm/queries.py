@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, quality, sql, url_filter
+from docketry.llm import chat, extract, packing, quality, sql, url_filter, warc
 from docketry.llm.tables import read_table, settle
 
 
@@ -47,10 +47,38 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages archived, found again by their urls through the index, and read by byte range."""
+    pages = read_table(spark, folder, "pages")
+    place, _, blocks = warc.archive(pages)
+    found = warc.look_up(warc.keys_of(pages), blocks)
+    return warc.read_records(found, place, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
+
+
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.extract(read_table(spark, folder, "pages"), extract.train_tree(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op5_warc": op5_warc,
     "op6_chat_format": op6_chat_format,
+    "op9_packing": op9_packing,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {
