@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, extract, packing, quality, sql, url_filter, warc
+from docketry.llm import chat, decontaminate, extract, packing, quality, sql, url_filter, warc
 from docketry.llm.tables import read_table, settle
 
 
@@ -47,6 +47,12 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's words that lie in ten-word windows of benchmark items."""
+    return decontaminate.contamination(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages archived, found again by their urls through the index, and read by byte range."""
     pages = read_table(spark, folder, "pages")
@@ -75,6 +81,7 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_chat_format": op6_chat_format,
     "op9_packing": op9_packing,
