@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, extract, packing, quality, sql, url_filter, warc
+from docketry.llm import chat, decontaminate, extract, jaccard_join, packing, quality, sql, url_filter, warc
 from docketry.llm.tables import read_table, settle
 
 
@@ -62,6 +62,11 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of documents it is linked with."""
+    return jaccard_join.join(read_table(spark, folder, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_chat_format": op6_chat_format,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
 }
