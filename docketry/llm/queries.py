@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, extract, jaccard_join, packing, quality, sql, url_filter, warc
+from docketry.llm import chat, decontaminate, extract, jaccard_join, packing, quality, sql, suffix_dedup, url_filter, warc
 from docketry.llm.tables import read_table, settle
 
 
@@ -67,6 +67,11 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(read_table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its bytes in 100-byte strings that start earlier."""
+    return suffix_dedup.dedup(read_table(spark, folder, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_chat_format": op6_chat_format,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
 }
