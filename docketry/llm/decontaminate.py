@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from docketry.llm.tables import settle
 from docketry.llm.textbytes import ALPHANUMERIC, Words, slices
@@ -163,9 +164,9 @@ def hits(docs: DataFrame, windows: list[tuple], keep: list[str]) -> DataFrame:
                  pa.array(map(sorted, hit_words), pa.list_(pa.int32())), pa.array(map(list, items), pa.list_(pa.int64()))],
                 names=[*keep, "n_words", "hit_words", "items"])
 
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "hit_words", "items", "text").mapInArrow(
-        find, f"{given}, n_words long, hit_words array<int>, items array<long>")
+    shape = StructType(list(docs.select(*keep).schema)).add("n_words", "long").add(
+        "hit_words", ArrayType(IntegerType())).add("items", ArrayType(LongType()))
+    return docs.select(*keep, "hit_words", "items", "text").mapInArrow(find, shape)
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes(), keep: tuple[str, ...] = ("doc_id",),
@@ -204,3 +205,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes())
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
         F.size(F.filter("items", lambda i: i.isNotNull())).cast("long").alias("n_items"),
         items_digest(F.col("items")).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """The rows of docs, with all columns, that hold no window of an item."""
+    given = docs.select(F.struct("*").alias("given"), "text")
+    return find_windows(given, benchmark, sizes, ("given",)).filter(F.size("hit_words") == 0).select("given.*")

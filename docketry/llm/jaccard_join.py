@@ -135,16 +135,16 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
-NODES = "doc_id long, n long, node long, keys array<long>"
-
-
 def nodes_of(docs: DataFrame, order: np.ndarray, like: Similarity) -> DataFrame:
-    """doc_id, n, node of every document, and once per node and task the shards it stands in."""
+    """doc_id, text_id, n, node of every document, and once per node and task the shards it stands in.
+
+    text_id is a hash of the text; with the doc_id it says which row is meant.
+    """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             n, nodes, keys = [], [], []
-            for _, texts in slices(batch.column(1)):
+            for _, texts in slices(batch.column(2)):
                 for values in sets_of(texts, like.shingle):
                     node = signature(values)
                     n.append(len(values))
@@ -158,10 +158,11 @@ def nodes_of(docs: DataFrame, order: np.ndarray, like: Similarity) -> DataFrame:
                     rare = np.lexsort((values, order[bucket(values)]))[:first]
                     keys.append(values[rare].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "keys"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "n", "node", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, NODES)
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "text").mapInArrow(
+        make, "doc_id long, text_id long, n long, node long, keys array<long>")
 
 
 def shards_of(nodes: DataFrame, percent: int) -> DataFrame:
@@ -334,8 +335,8 @@ def tree_pairs(shards: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return placed.mapInArrow(search, "u long, v long").distinct()
 
 
-def join(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (component_id: smallest doc_id linked with it)."""
+def classes(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
+    """doc_id, text_id, n_shingles, component of every document; linked documents share a component."""
     nodes = settle(nodes_of(docs, rarity(docs, like.shingle), like))
     shards = settle(shards_of(nodes, like.percent))
     sets = settle(sets_table(docs, settle(shards.select("node").distinct()), like))
@@ -346,11 +347,32 @@ def join(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     star_links = settle(verified(settle(may_link(stars, sets, like.percent)), sets, like.percent))
     labels = components(star_links)
     more = settle(verified(settle(tree_pairs(shards, labels, sets, like.percent)), sets, like.percent))
-    links = star_links.unionByName(more)
-    final = labels if not more.limit(1).count() else components(links)
-    members = nodes.select("doc_id", "n", "node").join(final, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    smallest = members.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    final = components(star_links.unionByName(more)) if more.limit(1).count() else labels
+    return nodes.join(final, "node", "left").select(
+        "doc_id", "text_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
+
+
+def join(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (component_id: smallest doc_id linked with it)."""
+    members = classes(docs, like)
+    smallest = members.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return members.join(smallest, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
+    """The rows of docs, with all columns, that stay: of each group of linked documents the smallest doc_id.
+
+    Texts without words all stay, but rows with the same doc_id and text are one document.
+    A NULL doc_id stays only where its group has no other.
+    """
+    members = classes(docs, like)
+    group = F.when(F.col("n_shingles") > 0, F.struct(F.lit(0), F.col("component"), F.lit(None).cast("long"))).otherwise(
+        F.struct(F.lit(1), F.col("text_id"), F.col("doc_id")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")
+    stay = members.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(
+        F.col("first.doc_id").alias("of"), F.col("first.text_id").alias("of_text"))
+    given = docs.select(
+        F.struct("*").alias("given"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"))
+    kept = given.join(stay, (F.col("text_id") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    return kept.dropDuplicates(["text_id", "doc_id"]).select("given.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, extract, jaccard_join, packing, quality, sql, suffix_dedup, url_filter, warc
+from docketry.llm import chat, decontaminate, extract, jaccard_join, packing, quality, secrets, sql, suffix_dedup, url_filter, warc
 from docketry.llm.tables import read_table, settle
 
 
@@ -31,6 +31,16 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "formatted_chars", "valid")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate in the documents, by its digest and what stands before it, with the verdict."""
+    found = secrets.scan(
+        read_table(spark, folder, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return found.select(
+        "doc_id", F.sha2("candidate", 256).alias("candidate_sha256"),
+        F.length("candidate").cast("long").alias("candidate_chars"), F.length("before").cast("long").alias("before_chars"),
+        F.round("score", 4).alias("score"), "is_secret")
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's url judged by the host rules, or else by the trees."""
     pages = read_table(spark, folder, "pages").select("page_id", "url")
@@ -89,6 +99,7 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontaminate": op4_decontaminate,

@@ -59,7 +59,7 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def _entropy(text: Column) -> Column:
+def entropy(text: Column) -> Column:
     """Shannon entropy in bits over the characters of a text."""
     n = F.length(text)
     parts = F.transform(
@@ -91,8 +91,8 @@ def lexical(urls: DataFrame) -> DataFrame:
         "path_depth": (F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))).cast("double"),
         "digit_ratio": _share(F.col("whole"), "[0-9]+"),
         "host_digit_ratio": _share(F.col("host"), "[0-9]+"),
-        "entropy": _entropy(F.col("whole")),
-        "host_entropy": _entropy(F.col("host")),
+        "entropy": entropy(F.col("whole")),
+        "host_entropy": entropy(F.col("host")),
         "n_params": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "[&;]")).cast("double")),
         "n_escapes": F.regexp_count("whole", F.lit("%[0-9A-Fa-f]{2}")).cast("double"),
         "vowel_ratio": _share(F.col("host"), "[aeiou]+"),
