@@ -93,12 +93,15 @@ def stored_json(d: Data):
 
 
 @query("extraction_field", """
-select document_id, value, round(confidence, 6) as confidence, case when document_id % 2 = 0 then 2 else 1 end as page
-from extractions where field_name = 'insurer' and value is not null""")
+select document_id, field_name as field, value, round(confidence, 6) as confidence,
+  case when document_id % 2 = 0 then 2 else 1 end as page
+from extractions where value is not null""")
 def _(d: Data):
-    found = stored_json(d).select("document_id", op.extraction_field(F.col("json"), F.lit("insurer")).alias("f"))
+    names = F.explode(F.array(*map(F.lit, ("insurer", "policy_number", "vehicle_number", "insurance_start")))).alias("field")
+    asked = stored_json(d).select("document_id", "json", names)
+    found = asked.select("document_id", "field", op.extraction_field(F.col("json"), F.col("field")).alias("f"))
     return found.filter("f is not null").select(
-        "document_id", "f.value", F.round("f.confidence", 6).alias("confidence"), "f.page")
+        "document_id", "field", "f.value", F.round("f.confidence", 6).alias("confidence"), "f.page")
 
 
 @query("extraction_to_json")

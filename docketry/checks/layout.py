@@ -96,17 +96,17 @@ def _(d: Data):
 
 
 @query("relation_score", """
-select doc_id, word_idx, round(case when y0 >= 17.4 and x1 > 100 and x0 < 220 and y0 + 6 > 15 and y0 - 9 <= 72
+select doc_id, word_idx, round(case when page <> 1 then 0.0e0 when y0 >= 17.4 and x1 > 100 and x0 < 220 and y0 + 6 > 15 and y0 - 9 <= 72
     then 100 - (y0 - 9) / 12 * 6
   when y0 + 7 > 9 and y0 + 5 < 21 then 90 - abs((x0 + x1) / 2 - 160) / 12 * 4
   else greatest(0, 40 - sqrt(((x0 + x1) / 2 - 160) ** 2 + (y0 - 9) ** 2) / 12 * 3) end, 6) as score
-from grid_words where page = 1""")
+from grid_words""")
 def _(d: Data):
     label = F.struct(F.lit(1).alias("page"), F.lit(100.0).alias("x0"), F.lit(9.0).alias("y0"),
                      F.lit(220.0).alias("x1"), F.lit(21.0).alias("y1"),
                      F.lit(160.0).alias("cx"), F.lit(15.0).alias("cy"))
     word = F.struct("page", "x0", "y0", "x1", "y1", "cx", "cy")
-    return geometry.with_center(words(d)).filter("page = 1").select(
+    return geometry.with_center(words(d)).select(
         "doc_id", "word_idx", F.round(geometry.relation_score(label, word)["score"], 6).alias("score"))
 
 

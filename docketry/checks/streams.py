@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,9 +12,7 @@ from docketry.streaming import jobs
 
 
 def folder(d: Data, name: str) -> str:
-    root = shared_folder(d.spark).removeprefix("file:")
-    os.makedirs(root, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=root)
+    return f"{shared_folder(d.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def as_stream(d: Data, df, name: str, parts: int = 2):
@@ -25,7 +22,7 @@ def as_stream(d: Data, df, name: str, parts: int = 2):
     return d.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("stream_ingest_dedupe")
+@query("stream_ingest_dedupe", "select distinct content_hash from docs")
 def _(d: Data):
     uploads = d.docs.select("document_id", "content_hash",
                             F.timestamp_seconds(F.lit(1.7e9) + F.col("arrival")).alias("arrived_at"))
@@ -41,14 +38,14 @@ select strftime(date_trunc('day', created_at), '%Y-%m-%d') as day, count(*) as c
 def _(d: Data):
     usage = d.usage.withColumn("created_at", F.col("created_at").cast("timestamp"))
     figures = jobs.stream_usage_windows(as_stream(d, usage, "usage", 1), "2 days")
-    path, name = folder(d, "cp"), f"usage_{os.path.basename(folder(d, 'q'))}".replace("-", "_")
+    path, name = folder(d, "cp"), f"usage_{uuid.uuid4().hex}"
     figures.writeStream.format("memory").queryName(name).outputMode("complete").option(
         "checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
     return d.spark.table(name).select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "calls", "input_tokens", "output_tokens", "successful")
 
 
-@query("stream_conflict_rescan")
+@query("stream_conflict_rescan", "select a_id, b_id, conflict_type from conflicts")
 def _(d: Data):
     conflicts = folder(d, "conflicts")
     jobs.stream_conflict_rescan(as_stream(d, d.policies, "policies"), folder(d, "stored"), conflicts,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.checks.base import Data, common, query
@@ -11,6 +13,7 @@ from docketry.functions import pii, text, values
 from docketry.operators import ingest, similarity
 from docketry.session import shared_folder
 from docketry.sources import files, sinks
+from docketry.sources.tables import SCHEMAS
 
 # --- shared SQL -------------------------------------------------------------------
 common("doc_words", """
@@ -84,10 +87,20 @@ def ascii_digest(col):
 
 
 # --- hygiene ------------------------------------------------------------------------
-@query("read_tables", """
-select doc_id, lang, source, n_chars, md5(text) as digest from documents""")
+def _table_keys() -> dict[str, str]:
+    """The first column of every table, which numbers its rows."""
+    return {name: shape.split()[0] for name, shape in SCHEMAS.items()}
+
+
+@query("read_tables", " union all ".join(
+    f"select '{name}' as name, count(*) as n, count(distinct {key}) as n_keys, "
+    f"cast(min({key}) as bigint) as low, cast(max({key}) as bigint) as high from {name}"
+    for name, key in _table_keys().items()))
 def _(d: Data):
-    return d.table("documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"))
+    parts = [d.table(name).agg(
+        F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"),
+        F.min(key).cast("long").alias("low"), F.max(key).cast("long").alias("high")) for name, key in _table_keys().items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("normalize_ws", r"""
@@ -235,29 +248,22 @@ def _(d: Data):
     return ingest.indexing_status(docs, pages)
 
 
-@query("write_chunks")
+@query("write_chunks", "select page, count(*) as count from chunks group by 1")
 def _(d: Data):
-    folder = tempfile.mkdtemp(prefix="chunks-", dir=_local_root(d))
+    folder = f"{shared_folder(d.spark)}/chunks-{uuid.uuid4().hex}"
     sinks.write_chunks(chunks(d), folder)
     return d.spark.read.parquet(folder).groupBy("page").count()
 
 
-@query("read_text_documents")
+@query("read_text_documents", "select 'txt' as ext, 1 as page, length(text) + 1 as chars from documents")
 def _(d: Data):
-    folder = tempfile.mkdtemp(prefix="texts-", dir=_local_root(d))
-    d.table("documents").select("text").write.mode("append").text(folder)
+    # a file per document; the writer ends each with a line break
+    folder = f"{shared_folder(d.spark)}/texts-{uuid.uuid4().hex}"
+    d.table("documents").select("doc_id", "text").write.partitionBy("doc_id").text(folder)
     found = files.read_text_documents(d.spark, folder)
     return found.filter("ext = 'txt'").select("ext", "page", F.length("text").alias("chars"))
 
 
-def _local_root(d: Data) -> str:
-    import os
-
-    root = shared_folder(d.spark).removeprefix("file:")
-    os.makedirs(root, exist_ok=True)
-    return root
-
-
 # --- personal data --------------------------------------------------------------------
 @query("sanitize_text", "select document_id, md5(t) as digest from masked")
 def _(d: Data):

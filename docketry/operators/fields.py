@@ -60,14 +60,6 @@ def detect_policy_number(text: Column) -> Column:
     return _first("(?U)" + vocab.POLICY_NUMBER, text)
 
 
-def prefer_policy_number(text: Column, value: Column, confidence: Column) -> Column:
-    """struct(value, confidence): a number of the dashed form replaces a weaker value."""
-    return let(detect_policy_number(text), lambda n: F.when(
-        n.isNotNull() & (value.isNull() | (F.coalesce(confidence, F.lit(0.0)) < 0.85)),
-        F.struct(n.alias("value"), F.lit(0.85).alias("confidence")),
-    ).otherwise(F.struct(value.alias("value"), confidence.alias("confidence"))))
-
-
 def labelled_date(text: Column, labels: list[str]) -> Column:
     """struct(date, label) of the first label with a date right before or after it."""
     def named(day: Column, label: str) -> Column:
@@ -296,7 +288,3 @@ def extraction_to_json(results: DataFrame) -> DataFrame:
         fields.alias("fields"), candidates.alias("vehicle_candidates"), "anchors_detected", "warnings",
         "ocr_engine", F.lit("2.0").alias("processing_version"))
     return results.select("document_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
-
-
-def language_of(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("language", detect_language(F.col("question")))

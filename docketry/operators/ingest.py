@@ -171,17 +171,21 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
 
 
 def embed_with(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], key: list[str],
-               text: str = "content") -> DataFrame:
+               text: str = "content", failures: str = "raise") -> DataFrame:
     """(key..., vector) from a caller's function on batches of texts.
 
-    A batch the function fails on gets NULL vectors; retrieval then works by keyword.
+    A failure of the function fails the job. With failures="null" the batch gets NULL vectors:
+    right for questions, which can still be answered by keyword, and for callers that mark
+    the documents of such chunks as failed.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 vectors = list(embedder(batch[text].fillna("").tolist()))
                 vectors += [None] * (len(batch) - len(vectors))
-            except Exception:  # the provider is outside code; any failure means no vector
+            except Exception:  # the provider is outside code and may fail in any way
+                if failures != "null":
+                    raise
                 vectors = [None] * len(batch)
             out = batch[key].copy()
             out["vector"] = vectors[: len(batch)]

@@ -193,7 +193,6 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     along = Window.partitionBy("doc_id", "page", "row_id").orderBy("x0", "cy", "word_idx")
     bare = F.nullif(F.regexp_replace("text", _LABEL_NOISE, ""), F.lit(""))
     own = F.struct("text", bare.alias("bare"), *BOX)
-    max_span = min(max_span, 1 + max(len(text.split()) for _, text in _anchor_rows(anchors)))
     wide = rows.join(heights.withColumnRenamed("h", "median"), "doc_id").select(
         "doc_id", "page", "row_id", F.row_number().over(along).alias("pos"),
         F.greatest(F.lit(20.0), 2.5 * F.col("median")).alias("gap"), own.alias("w0"),
@@ -497,12 +496,3 @@ def chosen_vehicle_number(best: DataFrame) -> DataFrame:
         "doc_id", F.lit("vehicle_number").alias("field"), "value",
         candidate_confidence(F.col("score")).alias("confidence"), F.lit("pdf_text_layout").alias("source"),
         "page", "label", "reason")
-
-
-def text_of_words(words: DataFrame) -> DataFrame:
-    """(doc_id, text) of documents that come without a text; a document's words in order.
-
-    This gathers one document per row, as a document's text column does.
-    """
-    return words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text"))).alias("w")).select(
-        "doc_id", normalize_ws(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("text"))

@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from docketry import vocab
 from docketry.functions.values import is_expired, normalize_registration
 
-# Groups of copies up to this size are listed pair by pair; each copy of a larger
-# group is tied to the first one instead. Being a copy is transitive, so the links
-# say the same as the pairs.
-PAIR_LIMIT = 200
+# Members of one block when the pairs of a group of copies are listed block against block.
+COPY_BLOCK = 1000
 # Slices of time, in days. An interval uses the first width that cuts it into at
 # most SLICES parts; the widest covers every date.
 SLICE_WIDTHS = [64, 1024, 16384, 4194304]
@@ -52,24 +50,27 @@ def _sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return side(left, "a").join(side(right, "b"), keys)
 
 
-def _copies(p: DataFrame, keys: list[str], pair_limit: int) -> DataFrame:
-    """(vehicle, a_id, b_id, a_hash, b_hash) of policies that agree on all `keys`."""
+def _copies(p: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(vehicle, a_id, b_id, a_hash, b_hash): all pairs of policies that agree on all `keys`.
+
+    The members of a group are hashed into blocks of about `block`, and blocks meet pair by
+    pair, so a large group is many tasks' work. The pairs are the result, whatever its size.
+    """
     p = p.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
     p = p.withColumn("mark", F.col("hash")).select("id", "mark", *keys)
     groups = (
         p.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "mark")).alias("first"))
-        .filter(F.col("n") > 1)
-    )
-    members = p.join(groups, keys)
-    few = members.filter(F.col("n") <= pair_limit).select("id", "mark", *keys)
-    pairs = _sides(few, few, keys).filter("a_id < b_id")
-    links = members.filter((F.col("n") > pair_limit) & (F.col("id") != F.col("first.id"))).select(
-        "vehicle", F.col("first.id").alias("a_id"), F.col("id").alias("b_id"),
-        F.col("first.mark").alias("a_mark"), F.col("mark").alias("b_mark"),
+        .agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1).drop("n")
     )
-    pairs = pairs.select("vehicle", "a_id", "b_id", "a_mark", "b_mark").unionByName(links)
-    return pairs.withColumnsRenamed({"a_mark": "a_hash", "b_mark": "b_hash"})
+    members = p.join(groups, keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = members.withColumn("i", F.col("own")).withColumn("j", each)
+    right = members.withColumn("j", F.col("own")).withColumn("i", each)
+    columns = ["id", "mark", *keys, "i", "j"]
+    pairs = _sides(left.select(columns), right.select(columns), [*keys, "i", "j"]).filter("a_id < b_id")
+    return pairs.select(
+        "vehicle", "a_id", "b_id", F.col("a_mark").alias("a_hash"), F.col("b_mark").alias("b_hash"))
 
 
 def _slice_of(day: Column, width: int) -> Column:
@@ -170,7 +171,7 @@ def _renewing(p: DataFrame, renewal_gap: int) -> DataFrame:
 
 
 def policy_pairs(
-    policies: DataFrame, renewal_gap: int = vocab.RENEWAL_GAP_DAYS, pair_limit: int = PAIR_LIMIT
+    policies: DataFrame, renewal_gap: int = vocab.RENEWAL_GAP_DAYS, copy_block: int = COPY_BLOCK
 ) -> DataFrame:
     """Comparable pairs of one vehicle -> (vehicle, a_id, b_id, basis, ...).
 
@@ -183,10 +184,10 @@ def policy_pairs(
         F.lit(None).cast("date").alias("overlap_start"),
         F.lit(None).cast("date").alias("overlap_end"), F.lit(None).cast("int").alias("gap"),
     ]
-    files = _copies(p, ["vehicle", "hash"], pair_limit).select(
+    files = _copies(p, ["vehicle", "hash"], copy_block).select(
         "vehicle", "a_id", "b_id", F.lit("same_file").alias("basis"), *none)
     numbers = (
-        _copies(p, ["vehicle", "number", "insurer"], pair_limit)
+        _copies(p, ["vehicle", "number", "insurer"], copy_block)
         .filter(~F.coalesce(F.col("a_hash") == F.col("b_hash"), F.lit(False)))
         .select("vehicle", "a_id", "b_id", F.lit("same_number").alias("basis"), *none)
     )
@@ -208,7 +209,7 @@ def interval_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Col
 
 
 def detect_conflicts(
-    policies: DataFrame, renewal_gap: int = vocab.RENEWAL_GAP_DAYS, pair_limit: int = PAIR_LIMIT
+    policies: DataFrame, renewal_gap: int = vocab.RENEWAL_GAP_DAYS, copy_block: int = COPY_BLOCK
 ) -> DataFrame:
     """Classified conflicts (vehicle, a_id, b_id, conflict_type, severity, overlap_*, message)."""
     basis = F.col("basis")
@@ -235,7 +236,7 @@ def detect_conflicts(
               "Comprehensive and third-party coverage overlap — review for redundancy.")
         .otherwise(F.format_string("Likely renewal (gap of %d day(s)).", "gap"))
     )
-    return policy_pairs(policies, renewal_gap, pair_limit).select(
+    return policy_pairs(policies, renewal_gap, copy_block).select(
         "vehicle", "a_id", "b_id", kind.alias("conflict_type"), severity.alias("severity"),
         "overlap_start", "overlap_end", days.alias("overlap_days"), message.alias("message"),
     )

@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only after a count has shown that it has at most this many rows.
-BROADCAST_ROWS = 100_000
-
 
 # Spark 4.1 may report a union as hash-partitioned although its parts were coalesced
 # apart, and a later join then fails ("Can't zip RDDs with unequal numbers of
@@ -38,9 +34,15 @@ def build_session(app: str = "docketry", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the cluster names none."""
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    A session on this machine alone that names none, as in tests, gets a temporary one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
         folder = os.path.join(tempfile.gettempdir(), f"docketry-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -57,12 +59,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when `df` is shown to be small; else let Spark shuffle it."""
-    small = df.limit(max_rows + 1).agg(F.count(F.lit(1))).first()[0] <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed lookup table; its size is the length of a constant list."""
     return spark.createDataFrame(rows, schema)

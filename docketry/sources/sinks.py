@@ -9,7 +9,3 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     """Append chunks; rows of a file are sorted by document, so readers of one
     document skip most row groups by their statistics."""
     chunks.sortWithinPartitions("document_id", "position").write.mode("append").parquet(path)
-
-
-def append_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)

@@ -20,7 +20,7 @@ def _batch_path(table: str, batch_id: int) -> str:
 
 def _earlier(spark, table: str, schema, batch_id: int) -> DataFrame:
     """Rows of `table` written by batches before this one."""
-    known = spark.read.schema(schema).option("basePath", table).option("ignoreMissingFiles", "true")
+    known = spark.read.schema(schema).option("basePath", table)
     return known.parquet(table).filter(F.col("batch") < batch_id).drop("batch")
 
 
@@ -33,24 +33,25 @@ def _start(stream: DataFrame, work, name: str, checkpoint: str | None) -> Stream
 
 
 def stream_ingest_dedupe(
-    stream: DataFrame, table: str, delay: str = "1 day", checkpoint: str | None = None
+    stream: DataFrame, table: str, checkpoint: str | None = None
 ) -> StreamingQuery:
     """Uploads(document_id, content_hash, arrived_at, ...) to `table`, one row per content.
 
-    Within the watermark Spark's state drops repeats; the anti-join with what the table
-    holds makes it exact for repeats that come later.
+    Of a batch the first arrival of each content is taken, and of those the ones the table
+    does not hold yet. No upload is too late: there is no watermark.
     """
     fields = stream.schema
-    once = stream.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["content_hash"])
+    row = F.struct(*[F.col(c) for c in fields.names])
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        new = batch
+        new = batch.groupBy("content_hash").agg(
+            F.min_by(row, F.struct("arrived_at", "document_id")).alias("row")).select("row.*")
         if batch_id > 0:
             stored = _earlier(batch.sparkSession, table, fields.add("batch", "long"), batch_id)
-            new = batch.join(stored.select("content_hash"), "content_hash", "left_anti")
+            new = new.join(stored.select("content_hash"), "content_hash", "left_anti")
         new.select(*batch.columns).write.mode("overwrite").parquet(_batch_path(table, batch_id))
 
-    return _start(once, append, "stream_ingest_dedupe", checkpoint)
+    return _start(stream, append, "stream_ingest_dedupe", checkpoint)
 
 
 def usage_windows(usage: DataFrame, width: str = "1 day") -> DataFrame:

@@ -146,3 +146,9 @@ def test_answers_are_stated_or_hedged(one, spark):
                    4: "Document type: **Warranty**", 6: "Premium: **10.00 ₪**"}
     shared = vehicle.structured_answers(questions, docs, values, share_latest=True).filter("question_id = 5")
     assert shared.count() == 0  # the newest document of all has no such field
+
+
+def test_runs_may_hold_words_that_normalize_to_nothing(spark):
+    w = words(spark, [("aa", 0, 0, 1), ('"', 25, 0, 1), ("bb", 40, 0, 1), ("cc", 65, 0, 1)])
+    hits = op.label_hits(op.visual_rows(w), {"pair": ["aa bb"]}).collect()
+    assert sorted(h.span for h in hits) == [3, 4]

@@ -51,3 +51,17 @@ def test_streams_equal_batch(spark, key):
         want = jobs.usage_windows(usage).select(
             F.date_format("start", "yyyy-MM-dd"), "calls", "input_tokens", "output_tokens", "successful")
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_a_late_upload_is_stored(spark, tmp_path):
+    from docketry.streaming import jobs
+
+    source, table = f"{tmp_path}/in", f"{tmp_path}/table"
+    shape = "document_id long, content_hash string, arrived_at timestamp"
+    for k, (hash_, day) in enumerate([("h1", 20), ("h2", 25), ("h3", 28), ("h4", 9), ("h1", 29), ("h5", 30)]):
+        spark.sql(f"select {k}L as document_id, '{hash_}' as content_hash, timestamp'2024-01-{day:02d}' as arrived_at").coalesce(
+            1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).parquet(source)
+        jobs.stream_ingest_dedupe(stream, table, checkpoint=f"{tmp_path}/cp").awaitTermination()
+    got = sorted((r.document_id, r.content_hash) for r in spark.read.parquet(table).collect())
+    assert got == [(0, "h1"), (1, "h2"), (2, "h3"), (3, "h4"), (5, "h5")]

@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import policies as op
@@ -100,11 +101,16 @@ def test_against_all_pairs_with_odd_dates_and_one_hot_vehicle(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_large_groups_of_copies_become_links(spark):
+@pytest.mark.parametrize("n", [199, 200, 201])
+def test_copies_are_pairs_whatever_their_number(spark, n):
+    rows = [policy(f"p{i:03d}", hash="same") for i in range(n)]
+    assert len(set(found(spark, *rows))) == n * (n - 1) // 2
+
+
+def test_blocks_of_copies_list_each_pair_once(spark):
     rows = [policy(f"p{i:02d}", hash="same") for i in range(30)]
-    links = found(spark, *rows, pair_limit=10)
-    assert set(links) == {("p00", f"p{i:02d}") for i in range(1, 30)}
-    assert len(found(spark, *rows, pair_limit=30)) == 30 * 29 // 2
+    pairs = found(spark, *rows, copy_block=7)
+    assert len(pairs) == len(set(pairs)) == 30 * 29 // 2
 
 
 def test_quality_codes(spark):

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -137,7 +138,7 @@ def test_repeated_chunks_are_dropped(spark):
         (1, 0, "A  b"), (1, 1, "c"), (1, 2, "d"), (2, 0, "a b")]
 
 
-def test_embedding_failures_leave_null(spark):
+def test_embedding_failures(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id int, content string")
     good = ingest.embed_with(df, ingest.hashing_embedder(8), ["id"]).collect()
     assert all(len(r.vector) == 8 for r in good)
@@ -145,7 +146,9 @@ def test_embedding_failures_leave_null(spark):
     def broken(texts):
         raise RuntimeError("no provider")
 
-    assert [r.vector for r in ingest.embed_with(df, broken, ["id"]).collect()] == [None, None]
+    assert [r.vector for r in ingest.embed_with(df, broken, ["id"], failures="null").collect()] == [None, None]
+    with pytest.raises(Exception, match="no provider"):
+        ingest.embed_with(df, broken, ["id"]).collect()
 
 
 def test_read_text_documents(spark, tmp_path):
