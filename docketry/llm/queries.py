@@ -112,5 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": sql.DECONTAMINATE,
+    "op5_warc": sql.WARC,
     "op6_chat_format": sql.CHAT,
+    "op7_jaccard_join": sql.JACCARD,
+    "op8_suffix_dedup": sql.REPEATS,
 }

@@ -22,3 +22,75 @@ select conv_id, count(*) as n_turns,
     and max_by(role, (turn, role, text)) = 'assistant' as valid
 from stepped group by conv_id
 """
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE = f"""
+with docs as (select doc_id, {ITEM_WORDS} as words from documents),
+items as (select item_id, words, least(10, len(words)) as n
+  from (select item_id, {ITEM_WORDS} as words from benchmark) where len(words) > 0),
+windows as (select distinct item_id, n, array_to_string(list_slice(words, k, k + n - 1), ' ') as w
+  from (select *, unnest(range(1, len(words) - n + 2)) as k from items)),
+places as (select doc_id, n, k, array_to_string(list_slice(words, k, k + n - 1), ' ') as w
+  from (select *, unnest(range(1, len(words) - n + 2)) as k
+    from docs cross join (select distinct n from windows) where len(words) >= n)),
+found as (select doc_id, k, n, item_id from places join windows using (n, w)),
+hit as (select doc_id, count(distinct k + j) as n_hit from (select doc_id, k, unnest(range(n)) as j from found) group by 1),
+named as (select doc_id, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as items_sha256
+  from (select distinct doc_id, cast(item_id as varchar) as id from found) group by 1)
+select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
+from docs left join hit using (doc_id) left join named using (doc_id)
+"""
+
+JACCARD = rf"""
+with recursive docs as (
+  select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as words from documents),
+shingles as (select distinct doc_id, s from (
+  select doc_id, array_to_string(list_slice(words, k, k + 4), ' ') as s
+  from (select *, unnest(range(1, len(words) - 3)) as k from docs where len(words) >= 5)
+  union all select doc_id, array_to_string(words, ' ') from docs where len(words) between 1 and 4)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * s.n >= 75 * (x.n + y.n - s.n)),
+steps as (select a, b from links union all select b, a from links),
+reached as (select doc_id, doc_id as other from docs
+  union select r.doc_id, s.b from reached r join steps s on s.a = r.other)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from (select doc_id, min(other) as component_id from reached group by 1) left join sizes using (doc_id)
+"""
+
+WARC = """
+with payloads as (select page_id, coalesce(html, '') as html from pages),
+firsts as (select html, min(page_id) as first from payloads group by 1),
+hexed as (select page_id, first, strlen(html) as payload_bytes, sha1(html) as h from payloads join firsts using (html))
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((cast('0x' || substr(h, (i // 4) * 5 + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from hexed
+"""
+
+REPEATS = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+starts as (select doc_id, s, md5(substr(h, 2 * s + 1, 200)) as w
+  from (select *, unnest(range(n - 99)) as s from docs where n >= 100)),
+firsts as (select w, min((doc_id, s)) as first from starts group by 1),
+later as (select doc_id, s from starts join firsts using (w) where (doc_id, s) <> first),
+apart as (select *, coalesce(s - lag(s) over (partition by doc_id order by s) > 100, true) as is_new from later),
+spans as (select doc_id, min(s) as low, max(s) + 100 as high from (
+  select *, count(*) filter (is_new) over (partition by doc_id order by s) as span from apart) group by doc_id, span),
+gaps as (select doc_id, high as low, coalesce(lead(low) over (partition by doc_id order by low), n) as high
+  from (select doc_id, 0 as low, 0 as high, n from docs where doc_id in (select doc_id from spans)
+    union all select doc_id, low, high, n from spans join docs using (doc_id))),
+kept as (select doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' order by low) as h
+  from gaps join docs using (doc_id) group by 1),
+removed as (select doc_id, cast(sum(high - low) as bigint) as n_removed, count(*) as n_spans from spans group by 1)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
+from docs d left join removed using (doc_id) left join kept k using (doc_id)
+"""
