@@ -8,6 +8,8 @@ A user holds keys (all, public, user:<id>, dept:<id>, role:<id>) and a document
 lists the keys that open it. Both are linear in the data. All (user, document)
 pairs are never written out: a department or the public key alone would multiply
 users by documents. Counts and newest documents are taken per set of keys instead.
+The keys all and public would be held by whole tables; they are never joined. What
+they open is the same for everybody: a count, or one list of the newest.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators.common import top_per
+from docketry.session import settle
+
+
+#: held by every superuser, and by everybody
+WIDE_KEYS = ("all", "public")
 
 
 def _key(kind: str, col) -> Column:
@@ -49,16 +56,27 @@ def grant_union(grants: DataFrame) -> DataFrame:
     return grants.select("document_id", F.explode(keys).alias("key")).distinct()
 
 
+def _is_public() -> Column:
+    return F.coalesce(F.col("classification") == "PUBLIC", F.lit(False))
+
+
+def _named_keys() -> Column:
+    return F.array_compact(F.array(_key("user", "owner_id"), _key("dept", "department_id")))
+
+
+def wide_keys() -> Column:
+    """The keys of a document that whole tables of users hold."""
+    return F.array_compact(F.array(F.lit("all"), F.when(_is_public(), F.lit("public"))))
+
+
 def _own_keys() -> Column:
-    return F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("classification") == "PUBLIC", F.lit("public")),
-        _key("user", "owner_id"), _key("dept", "department_id")))
+    return F.concat(wide_keys(), _named_keys())
 
 
 def audience(docs: DataFrame, grants: DataFrame) -> DataFrame:
-    """Distinct (document_id, key) that open each live document."""
+    """Distinct (document_id, key) of the user, department and role keys that open each live document."""
     live = live_documents(docs)
-    own = live.select("document_id", F.explode(_own_keys()).alias("key"))
+    own = live.select("document_id", F.explode(_named_keys()).alias("key"))
     granted = grant_union(grants).join(live.select("document_id"), "document_id", "left_semi")
     return own.unionByName(granted).distinct()
 
@@ -75,9 +93,17 @@ def accessible_documents(
     docs: DataFrame, users: DataFrame, user_roles: DataFrame, grants: DataFrame
 ) -> DataFrame:
     """(document_id, key, users): each way into each live document and how many hold it."""
-    held = principals(users, user_roles).select(F.explode("keys").alias("key")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("users"))
-    return audience(docs, grants).join(held, "key").select("document_id", "key", "users")
+    held = principals(users, user_roles).select(F.explode("keys").alias("key")).filter(
+        ~F.col("key").isin(*WIDE_KEYS)).groupBy("key").agg(F.count(F.lit(1)).alias("users"))
+    named = audience(docs, grants).join(held, "key").select("document_id", "key", "users")
+    # everybody holds public and every superuser all: two numbers
+    n = users.agg(F.count(F.lit(1)).alias("everybody"), F.count_if("is_superuser").alias("superusers")).first()
+    wide = F.array_compact(F.array(
+        F.when(F.lit(n["superusers"] > 0), F.struct(F.lit("all").alias("key"), F.lit(n["superusers"]).alias("users"))),
+        F.when(_is_public() & F.lit(n["everybody"] > 0),
+               F.struct(F.lit("public").alias("key"), F.lit(n["everybody"]).alias("users")))))
+    return named.unionByName(
+        live_documents(docs).select("document_id", F.explode(wide).alias("w")).select("document_id", "w.key", "w.users"))
 
 
 def documents_of_user(
@@ -130,12 +156,12 @@ def _group_keys(keys: Column) -> Column:
 
 
 def _document_groups(docs: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(document_id, group_keys) and the personal entries (document_id, user_key).
+    """Of the documents that are not public: (document_id, group_keys) and the personal entries
+    (document_id, user_key).
 
-    Group keys of a document are at most its department, the public key, and the
-    departments and roles that exist.
+    Group keys of a document are at most its department and the departments and roles that exist.
     """
-    opened = audience(docs, grants)
+    opened = settle(audience(docs.filter(~_is_public()), grants))
     groups = opened.filter(~_is_personal(F.col("key"))).groupBy("document_id").agg(
         F.array_sort(F.collect_set("key")).alias("group_keys"))
     personal = opened.filter(_is_personal(F.col("key"))).withColumnRenamed("key", "user_key")
@@ -143,9 +169,10 @@ def _document_groups(docs: DataFrame, grants: DataFrame) -> tuple[DataFrame, Dat
 
 
 def _user_groups(users: DataFrame, user_roles: DataFrame) -> DataFrame:
-    held = principals(users, user_roles)
+    """Users who are not superusers, with their group keys but for `public`."""
+    held = principals(users.filter(~F.coalesce("is_superuser", F.lit(False))), user_roles)
     return held.select("user_id", _key("user", "user_id").alias("user_key"),
-                       _group_keys(F.col("keys")).alias("held"))
+                       F.array_remove(_group_keys(F.col("keys")), "public").alias("held"))
 
 
 def _open_sets(groups: DataFrame, people: DataFrame) -> DataFrame:
@@ -158,8 +185,8 @@ def _open_sets(groups: DataFrame, people: DataFrame) -> DataFrame:
 def _personal_extra(groups: DataFrame, personal: DataFrame, people: DataFrame) -> DataFrame:
     """(user_id, document_id) a user reaches by name only, not through a group."""
     return (
-        personal.join(people, "user_key").join(groups, "document_id")
-        .filter(~F.arrays_overlap("held", "group_keys")).select("user_id", "document_id")
+        personal.join(people, "user_key").join(groups, "document_id", "left")
+        .filter(~F.coalesce(F.arrays_overlap("held", "group_keys"), F.lit(False))).select("user_id", "document_id")
     )
 
 
@@ -169,13 +196,15 @@ def accessible_count(
     """(user_id, n): live documents each user may read."""
     groups, personal = _document_groups(docs, grants)
     people = _user_groups(users, user_roles)
+    known = live_documents(docs).agg(F.count(F.lit(1)).alias("all"), F.count_if(_is_public()).alias("public")).first()
     sizes = groups.groupBy("group_keys").agg(F.count(F.lit(1)).alias("size"))
     by_set = _open_sets(groups, people).join(sizes, "group_keys").groupBy("held").agg(
         F.sum("size").alias("shared"))
     extra = _personal_extra(groups, personal, people).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("own"))
-    return people.join(by_set, "held", "left").join(extra, "user_id", "left").select(
-        "user_id", (F.coalesce("shared", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n"))
+    named = people.join(by_set, "held", "left").join(extra, "user_id", "left").select(
+        "user_id", (F.coalesce("shared", F.lit(0)) + F.coalesce("own", F.lit(0)) + F.lit(known["public"])).alias("n"))
+    return named.unionByName(users.filter("is_superuser").select("user_id", F.lit(known["all"]).alias("n")))
 
 
 def recent_documents(
@@ -183,21 +212,34 @@ def recent_documents(
 ) -> DataFrame:
     """(user_id, document_id, rank): the n newest documents each user may read.
 
-    The newest n are first taken per set of document keys, then per set of user keys;
-    a user's own list is merged from at most 2n rows.
+    The newest n are first taken per set of document keys, then per set of user keys; the
+    newest n public ones, and of all for superusers, are one list each. A user's own list is
+    merged from at most 3n rows.
     """
     newest = [F.desc("created_at"), F.desc("document_id")]
     groups, personal = _document_groups(docs, grants)
     people = _user_groups(users, user_roles)
-    dates = live_documents(docs).select("document_id", "created_at")
-    per_documents = top_per(groups.join(dates, "document_id"), ["group_keys"], newest, n)
+    dates = live_documents(docs).select("document_id", "created_at", _is_public().alias("is_public"))
+    per_documents = top_per(
+        groups.join(dates.drop("is_public"), "document_id"), ["group_keys"], newest, n)
     per_holders = top_per(
         _open_sets(groups, people).join(per_documents.drop("rank"), "group_keys"), ["held"], newest, n)
     shared = people.join(per_holders, "held").select("user_id", "document_id", "created_at")
     extra = _personal_extra(groups, personal, people).join(dates, "document_id").select(
         "user_id", "document_id", "created_at")
-    return top_per(shared.unionByName(extra), ["user_id"], newest, n).select(
-        "user_id", "document_id", "rank")
+
+    def for_each(who: DataFrame, rows: DataFrame) -> DataFrame:
+        """The n newest of `rows`, the same list for each of `who`."""
+        top = rows.select("document_id", "created_at").orderBy(*newest).limit(n)
+        shape = top.schema
+        listed = F.array(*[
+            F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in shape]) for r in top.collect()])
+        return who.select("user_id", F.explode(listed.cast(f"array<{shape.simpleString()}>")).alias("d")).select(
+            "user_id", "d.*")
+
+    rows = shared.unionByName(extra).unionByName(for_each(people, dates.filter("is_public"))).unionByName(
+        for_each(users.filter("is_superuser"), dates))
+    return top_per(rows, ["user_id"], newest, n).select("user_id", "document_id", "rank")
 
 
 def default_document(

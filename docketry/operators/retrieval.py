@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docketry import vocab
 from docketry.functions.text import has_content, keyword_overlap
-from docketry.operators.access import audience, principals
+from docketry.operators.access import WIDE_KEYS, audience, live_documents, principals, wide_keys
 from docketry.operators.common import top_per
 
 # Questions per block: what one task holds of the question side.
@@ -57,8 +57,14 @@ def permitted_chunks(chunks: DataFrame, queries: DataFrame, docs: DataFrame, gra
     Applied before any scoring. A document lists only keys the given questions hold.
     """
     wanted = queries.select(F.explode("keys").alias("key")).distinct()
-    readers = audience(docs, grants).join(wanted, "key", "left_semi").groupBy("document_id").agg(
-        F.collect_set("key").alias("readers"))
+    named = audience(docs, grants).join(wanted, "key", "left_semi").groupBy("document_id").agg(
+        F.collect_set("key").alias("named"))
+    # the keys that whole tables hold are not joined: whether anybody asks with them is two flags
+    held = queries.agg(*[F.coalesce(F.max(F.array_contains("keys", k)), F.lit(False)).alias(k) for k in WIDE_KEYS]).first()
+    wide = F.filter(wide_keys(), lambda k: k.isin(*[k_ for k_ in WIDE_KEYS if held[k_]]))
+    none = F.array().cast("array<string>")
+    readers = live_documents(docs).select("document_id", wide.alias("wide")).join(named, "document_id", "left").select(
+        "document_id", F.concat("wide", F.coalesce("named", none)).alias("readers")).filter(F.size("readers") > 0)
     return chunks.join(readers, "document_id")
 
 
