@@ -409,7 +409,16 @@ def _(d: Data):
     return sent.select("query_id", "user_id", "sources", "allowed", "reason", "redaction_applied", "context_chars")
 
 
-@query("ingest_documents")
+@query("ingest_documents", r"""
+select d.document_id, p.n, 'READY' as processing,
+  case when p.chars < 20 * p.n then 'ocr_unavailable' else 'not_required' end as ocr,
+  case when p.chars > 0 then 'indexed' else 'skipped_no_text' end as indexing
+from docs d
+join (select content_hash, min(document_id) as first_id from docs group by 1) f
+  on f.content_hash = d.content_hash and f.first_id = d.document_id
+join (select document_id, count(*) as n, sum(length(regexp_replace(text, '^\s+|\s+$', '', 'g'))) as chars
+  from doc_pages group by 1) p on p.document_id = d.document_id
+where d.content_hash not in (select content_hash from docs where not is_deleted and document_id % 4 = 0)""")
 def _(d: Data):
     from docketry.checks.texts import doc_pages
 

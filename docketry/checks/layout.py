@@ -248,7 +248,8 @@ def _(d: Data):
 
 
 # --- without SQL: order-dependent or fuzzy -------------------------------------------------
-@query("visual_rows")
+@query("visual_rows", """
+select doc_id, word_idx, page, dense_rank() over (partition by doc_id, page order by y0) - 1 as row_id from grid_words""")
 def _(d: Data):
     return op.visual_rows(words(d)).select("doc_id", "word_idx", "page", "row_id")
 
