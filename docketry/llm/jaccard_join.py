@@ -9,8 +9,9 @@ is compared with another. The steps, each a table:
    there are. Two sets that are similar enough must share one of the first
    n - ceil(t*n) + 1 shingles in that order: those are the shards a node stands in. Shards with
    the same members are one; a shard is cut where sizes jump by more than the threshold allows.
-3. Star: in each shard the smallest member is held against the others. Pairs that the count
-   vectors do not rule out are verified on the sets; links give first components.
+3. Stars: in each shard one member, the pivot, is held against the others. Pairs that the count
+   vectors do not rule out are verified on the sets; links give first components. The next
+   rounds take other pivots in the shards that still have several components.
 4. Tree: shards whose members are still in different components are searched with the R-tree
    for pairs between components; survivors are verified. Members already connected are not
    compared again, so a shard of copies stays linear, and no link between components is missed.
@@ -19,6 +20,9 @@ is compared with another. The steps, each a table:
 A shard with more members than SHARD_ROWS is split into blocks, and each pair of blocks is a
 task's work of its own. Links, sets and components never go to the driver.
 
+Shingles are 64-bit hashes, and sets are compared by the upper 48 bits of them: two texts of a
+thousand words share a hash by chance once in 10**8 pairs.
+
 Defined results for odd input: a text without words is an empty set, linked with nothing, its
 component is its own doc_id; fewer words than a shingle are one shingle; repeated rows and
 equal texts are linked; a NULL doc_id takes part but never names a component, unless it is
@@ -42,10 +46,12 @@ from docketry.llm.textbytes import NOT_SPACE, U64, Words, mixed, slices
 
 SKETCH_BITS = 20
 CHUNK = 4096
-GROUPS = 128
+GROUPS = 512
+#: rounds of pivots before the tree; a work setting, results do not depend on it
+ROUNDS = 4
 SHARD_ROWS = 2048
-#: involved nodes whose ids may travel with the tasks (8 bytes each); more are joined
-CARRIED_NODES = 4_000_000
+#: a table of so many ids at most (16 bytes a row) is broadcast; a larger one is joined by shuffle
+CARRIED_NODES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -203,39 +209,49 @@ def shards_of(nodes: DataFrame, percent: int) -> DataFrame:
         cut, "shard long, node long, n long").dropDuplicates(["shard", "node"])
 
 
-def vectors(values: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles per group."""
-    return np.bincount((mixed(values) & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4")
+def vector(values: np.ndarray) -> bytes:
+    """Counts of a set's shingles per group, cut at 255, and its size."""
+    counts = np.bincount((mixed(values) & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + len(values).to_bytes(8, "little")
+
+
+def read_vectors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per group and sizes."""
+    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS + 8)
+    return rows[:, :GROUPS], np.ascontiguousarray(rows[:, GROUPS:]).view("<i8").ravel()
+
+
+def as_bytes(values: np.ndarray) -> bytes:
+    """The upper 48 bits of each value, in order."""
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
 
 
 def sets_table(docs: DataFrame, wanted: DataFrame, like: Similarity) -> DataFrame:
-    """node, vector, tokens of the wanted nodes (column node), each once."""
-    few = at_most(wanted, CARRIED_NODES)
-    ids = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
+    """node, vector, tokens of the documents named by `wanted` (doc_id, text_id).
+
+    Repeated rows of one document may come twice. That does no harm: it repeats pairs, and
+    links are a set.
+    """
+    named = wanted.select(F.col("doc_id").alias("of"), F.col("text_id").alias("of_text"))
+    if at_most(named, CARRIED_NODES):
+        named = F.broadcast(named)
+    chosen = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id")).join(
+        named, (F.col("text_id") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            out: list[tuple] = []
-            for _, texts in slices(batch.column(0)):
-                for values in sets_of(texts, like.shingle):
-                    node = signature(values)
-                    if not node or node in seen:
-                        continue
-                    if ids is not None:
-                        at = int(np.searchsorted(ids, node))
-                        if at == len(ids) or ids[at] != node:
-                            continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    out.append((node, vectors(values).tobytes(), values.tobytes()))
+            sets = [values for _, texts in slices(batch.column(0)) for values in sets_of(texts, like.shingle)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(
-                    zip(*out) if out else [()] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                names=["node", "vector", "tokens"])
+                [pa.array([signature(v) for v in sets], pa.int64()), pa.array([vector(v) for v in sets], pa.binary()),
+                 pa.array([as_bytes(v) for v in sets], pa.binary())], names=["node", "vector", "tokens"])
 
-    made = docs.select("text").mapInArrow(make, "node long, vector binary, tokens binary")
-    return (made if few else made.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
+    return chosen.select("text").mapInArrow(make, "node long, vector binary, tokens binary")
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,8 +264,9 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in (2, 3))
-            keep = np.minimum(a, b).sum(axis=1) >= rtree.needed(a.sum(axis=1), b.sum(axis=1), percent)
+            (a, n), (b, m) = (read_vectors(batch.column(c).to_pylist()) for c in (2, 3))
+            over = [x - y.sum(axis=1, dtype=np.int64) for x, y in ((n, a), (m, b))]
+            keep = np.minimum(a, b).sum(axis=1, dtype=np.int64) + np.minimum(*over) >= rtree.needed(n, m, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     return both.select("u", "v", "a", "b").mapInArrow(bound, "u long, v long")
@@ -263,7 +280,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 20
     """
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / per_task).alias("parts"))
     spread = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
-    tokens = sets.select("node", "tokens")
+    mentioned = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    if at_most(mentioned, CARRIED_NODES):
+        mentioned = F.broadcast(mentioned)
+    tokens = sets.select("node", "tokens").join(mentioned, "node", "left_semi")
     partners = spread.select("u", "part", "v").join(tokens.withColumnRenamed("node", "v"), "v")
     heads = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(
         tokens.withColumnRenamed("node", "u"), "u").withColumn("v", F.lit(None).cast("long"))
@@ -276,7 +296,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 20
         for batch in batches:
             us, vs = [], []
             for u, v, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                values = np.frombuffer(raw.as_py(), U64)
+                values = from_bytes(raw.as_py())
                 if v is None:
                     own = values
                     continue
@@ -291,6 +311,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 20
     return rows.mapInArrow(compare, "u long, v long")
 
 
+def star_pairs(shards: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of a pivot per shard with the members of other components.
+
+    The first pivot is the smallest member; later ones go by a hash of node and turn, which
+    tends to take the same node in all shards where it stands.
+    """
+    label = F.col("node") if labels is None else F.coalesce("component", "node")
+    named = (shards if labels is None else shards.join(labels, "node", "left")).select("shard", "node", "n", label.alias("label"))
+    first = F.struct("n", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    pivots = named.groupBy("shard").agg(
+        F.min_by(F.struct("node", "n", "label"), first).alias("p"), F.min("label").alias("low"),
+        F.max("label").alias("high")).filter("low <> high").select("shard", "p")
+    return named.join(pivots, "shard").filter(
+        (F.col("p.label") != F.col("label")) & (100 * F.least("p.n", "n") >= percent * F.greatest("p.n", "n"))).select(
+        F.col("p.node").alias("u"), F.col("node").alias("v")).distinct()
+
+
 def tree_pairs(shards: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pairs (u, v) of different components that the R-trees of their shards let through."""
     named = shards.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn(
@@ -308,7 +345,12 @@ def tree_pairs(shards: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = None
+        now, found, size = None, [], 0
+
+        def once() -> pa.RecordBatch:  # a pair may meet in many shards
+            u, v = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -317,20 +359,25 @@ def tree_pairs(shards: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 key = tuple(keys[:, a])
                 if held and key != now:
-                    yield from joined(pa.Table.from_batches(held))
+                    for pairs_ in joined(pa.Table.from_batches(held)):
+                        found.append(pairs_)
+                        size += pairs_.shape[1]
+                        if size > 500_000:
+                            yield once()
+                            found, size = [], 0
                     held = []
                 now = key
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from joined(pa.Table.from_batches(held))
+            found.extend(joined(pa.Table.from_batches(held)))
+        yield once()
 
-    def joined(rows_: pa.Table) -> Iterator[pa.RecordBatch]:
+    def joined(rows_: pa.Table) -> Iterator[np.ndarray]:
         i, j = rows_.column("i")[0].as_py(), rows_.column("j")[0].as_py()
         node, label, n, own = (rows_.column(c).to_numpy() for c in ("node", "label", "n", "block"))
-        points = np.frombuffer(b"".join(rows_.column("vector").to_pylist()), "<i4").reshape(-1, GROUPS)
+        points, _ = read_vectors(rows_.column("vector").to_pylist())
         for a, b in rtree.pairs(points, n, label, percent, None if i == j else own == i):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["u", "v"])
+            yield np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])
 
     return placed.mapInArrow(search, "u long, v long").distinct()
 
@@ -339,15 +386,19 @@ def classes(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """doc_id, text_id, n_shingles, component of every document; linked documents share a component."""
     nodes = settle(nodes_of(docs, rarity(docs, like.shingle), like))
     shards = settle(shards_of(nodes, like.percent))
-    sets = settle(sets_table(docs, settle(shards.select("node").distinct()), like))
-    pivots = shards.groupBy("shard").agg(F.min(F.struct("n", "node")).alias("p"))
-    stars = shards.join(pivots, "shard").filter(
-        (F.col("p.node") != F.col("node")) & (100 * F.col("p.n") >= like.percent * F.col("n"))).select(
-        F.col("p.node").alias("u"), F.col("node").alias("v")).distinct()
-    star_links = settle(verified(settle(may_link(stars, sets, like.percent)), sets, like.percent))
-    labels = components(star_links)
+    one = F.min(F.struct("doc_id", "text_id")).alias("one")
+    involved = settle(nodes.join(shards.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("one.*"))
+    sets = settle(sets_table(docs, involved, like))
+    links = labels = None
+    for turn in range(ROUNDS):
+        stars = star_pairs(shards, labels, turn, like.percent)
+        found = settle(verified(settle(may_link(stars, sets, like.percent)), sets, like.percent))
+        if links is not None and not found.limit(1).count():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = settle(components(links))
     more = settle(verified(settle(tree_pairs(shards, labels, sets, like.percent)), sets, like.percent))
-    final = components(star_links.unionByName(more)) if more.limit(1).count() else labels
+    final = components(links.unionByName(more)) if more.limit(1).count() else labels
     return nodes.join(final, "node", "left").select(
         "doc_id", "text_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
@@ -367,12 +418,19 @@ def one_of_each(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     A NULL doc_id stays only where its group has no other.
     """
     members = classes(docs, like)
-    group = F.when(F.col("n_shingles") > 0, F.struct(F.lit(0), F.col("component"), F.lit(None).cast("long"))).otherwise(
-        F.struct(F.lit(1), F.col("text_id"), F.col("doc_id")))
+    empty = F.col("n_shingles") == 0
+    group = F.struct(empty.alias("empty"), F.when(empty, F.col("text_id")).otherwise(F.col("component")).alias("name"),
+                     F.when(empty, F.col("doc_id")).alias("of"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_id")
-    stay = members.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(
-        F.col("first.doc_id").alias("of"), F.col("first.text_id").alias("of_text"))
+    stay = settle(members.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select(
+        F.col("first.doc_id").alias("of"), F.col("first.text_id").alias("of_text")))
+    if at_most(stay, CARRIED_NODES):
+        stay = F.broadcast(stay)
     given = docs.select(
         F.struct("*").alias("given"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"))
     kept = given.join(stay, (F.col("text_id") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    return kept.dropDuplicates(["text_id", "doc_id"]).select("given.*")
+    # texts are only moved to drop repeated rows if there are any
+    repeated = members.groupBy("doc_id", "text_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    if repeated.limit(1).count():
+        kept = kept.dropDuplicates(["text_id", "doc_id"])
+    return kept.select("given.*")
