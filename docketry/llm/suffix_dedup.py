@@ -208,7 +208,7 @@ def decided(rows: DataFrame) -> DataFrame:
 def open_stretches(docs: DataFrame, open_anchors: DataFrame, length: int) -> DataFrame:
     """The stretches, with their bytes, of the anchors that need the index."""
     few = at_most(open_anchors, CARRIED_ANCHORS)
-    wanted = np.sort(np.array([r[0] for r in open_anchors.collect()], np.int64)) if few else None
+    wanted = np.sort(open_anchors.toArrow().column("anchor").to_numpy()) if few else None
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
