@@ -75,6 +75,34 @@ def test_distances_against_brute_force_and_labels(spark):
     assert sum(good) >= 0.98 * len(good)
 
 
+def made_up(seed, letters, words=160):
+    """Prose of a language of its own: ten common words, many rare ones."""
+    import random
+
+    rng, fixed = random.Random(seed), random.Random(letters)
+    word = lambda r, n: "".join(r.choice(letters) for _ in range(n))
+    common = [word(fixed, 3) for _ in range(10)]
+    return " ".join(rng.choice(common) if rng.random() < 0.5 else word(rng, 7) for _ in range(words))
+
+
+@pytest.mark.parametrize("n_rare", [3, 25])
+def test_language_without_reference_is_not_held_against_others(frame, n_rare):
+    small, cyrillic = "bcdfgopu", "абвгдежзик"
+    rows = [(i, made_up(i, "aeilnrst"), "en", "s", None) for i in range(60)]
+    rows += [(100 + i, made_up(100 + i, small), "xx", "s", None) for i in range(n_rare)]
+    rows += [(200 + i, made_up(200 + i, cyrillic), "yy", "s", None) for i in range(n_rare)]
+    rows += [(300, made_up(300, small), None, "s", None), (301, made_up(301, cyrillic), None, "s", None),
+             (302, made_up(302, "0123456789"), None, "s", None), (303, made_up(303, small), "en", "s", None)]
+    docs = frame(rows, DOCS, ("reference", "common", "shares", "classes"))
+    got = {r["doc_id"]: r for r in quality.judge(docs, quality.references(docs)).collect()}
+    own = n_rare >= quality.Limits().min_documents
+    for i, r in got.items():
+        assert r["kept"] == (i not in (302, 303)), i
+        assert (r["word_distance"] is None) == (300 <= i < 303 or (100 <= i < 300 and not own)), i
+    assert got[302]["class_distance"] > quality.Limits().max_class_distance
+    assert got[303]["word_distance"] > quality.Limits().max_word_distance
+
+
 RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"),
          url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
 
