@@ -56,8 +56,9 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer file defines them.
 
     A plain byte-level BPE whose merges are ranked like its ids is run by the faster of the two
-    BPE libraries on the ranks read from the same file. Texts with a special token in them, and
-    tokenizers of any other kind, go to the tokenizer itself.
+    BPE libraries on the ranks read from the same file. Texts with a special token in them, texts
+    its regex gives up on (about a million spaces in a row), and tokenizers of any other kind,
+    go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -95,7 +96,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.ranks is None or any(s in text for s in self.special):
             return self.whole(text)
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # the regex has a bounded stack
+            return self.whole(text)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"

@@ -176,3 +176,14 @@ def test_main_text(spark, frame):
     assert texts[4] == {" ".join(["word"] * 20_000)} and texts[5] == {""}
     assert texts[6] == {"A & B Onetwo three four <b> 5 < 6 © é Short"}
     assert extract.extract(frame([], PAGES), nodes).count() == 0
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", " \n"])
+def test_a_million_spaces_are_encoded_like_any_text(gap):
+    from docketry.llm.queries import tokenizer_path
+
+    encoder = packing.Encoder(tokenizer_path())
+    text = "before" + gap * (1_200_000 // len(gap)) + "behind"
+    with pytest.raises(ValueError):
+        encoder.ranks.encode_to_numpy(text, disallowed_special=())
+    assert encoder.encode(text) == encoder.whole(text)
