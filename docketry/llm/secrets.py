@@ -1,7 +1,9 @@
 """Secrets in texts: candidates by shape, then a random forest that removes false positives.
 
 A candidate is a run of at least 12 letters, digits, `+ / _ -` (with `=` padding) that holds a
-digit and a letter. The forest sees its length, how its characters change from one to the next, how much
+digit and a letter; a key in a provider's shape; a token of parts joined by dots whose last part is
+long; or whatever is assigned to a name with a secret word in it, quoted or up to the next space, of
+any length and characters. A name that is assigned to is no candidate itself. The forest sees its length, how its characters change from one to the next, how much
 of it a dictionary covers, the path of the text, and the words on both sides. It is trained on
 labelled findings; `labelled_findings` makes a table of them of a given size.
 
@@ -11,7 +13,7 @@ and travel without their texts.
 Defined results for odd input: a NULL or empty text has no candidates; a NULL path is empty;
 repeated rows have the same findings each; an empty table gives an empty result; a candidate
 that occurs several times in a text is one finding per occurrence; redaction replaces every
-occurrence of a secret in that text. Further columns are kept by `redact` and not looked at.
+occurrence of a secret in that text that is not part of a longer word. Further columns are kept by `redact` and not looked at.
 """
 
 from __future__ import annotations
@@ -27,10 +29,6 @@ from docketry.llm.tables import at_most, settle
 from docketry.llm.url_filter import entropy
 
 RUN = "[A-Za-z0-9+/_-]"
-CANDIDATE = (
-    rf"(?<!{RUN})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z]){RUN}{{12,}}+={{0,2}}")
-#: candidate with up to 40 characters before it and 20 behind
-IN_PLACE = rf"([\s\S]{{0,40}}?)({CANDIDATE})(?=([\s\S]{{0,20}}))"
 PLACEHOLDER = "[SECRET]"
 #: letter pairs that are common in words
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ng|se|ha|ou|io|le|ve|co|me|de|ro|ri|ic|ne"
@@ -52,7 +50,25 @@ PLAIN_WORDS = (
 PLAIN_PATHS = r"(^|[/._-])(test|tests|example|examples|fixture|fixtures|mock|sample|vendor|lock|min|dist)([/._-]|$)"
 PROVIDERS = (
     r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-[A-Za-z0-9-]{20,}$"
-    r"|^AIza[A-Za-z0-9_-]{35}$|^glpat-[A-Za-z0-9_-]{20}$|^npm_[A-Za-z0-9]{36}$")
+    r"|^AIza[A-Za-z0-9_-]{35}$|^glpat-[A-Za-z0-9_-]{20}$|^npm_[A-Za-z0-9]{36}$"
+    r"|^eyJ[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+$|^SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}$")
+#: a name with a secret word and what assigns to it, up to the value; the value itself, by its quote or up to a space
+KEY = (
+    rf"(?:(?i:passw|passphrase|pwd|secret|token|api.?key|apikey|access.?key|private.?key|credential|auth(?!or)|bearer)"
+    r"[A-Za-z0-9_-]{0,12}(?:[\"'`]?\s{0,3}(?:=>|:=|[:=]|\bis\s)\s{0,3}[\"'`]?|\s{0,3}[\"'`])|(?i:bearer)\s{1,3})")
+VALUE = (
+    r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)"
+    r"|[^\s\"'`=:>][^\s\"'`]*(?<![.,;:)\]}>]))")
+#: a key of a provider, a dotted token, or a run with a digit and a letter; no name that is assigned to
+SHAPE = (
+    rf"(?:(?<!{RUN})(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk_(?:live|test)_[A-Za-z0-9]{{16,}}"
+    r"|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}|npm_[A-Za-z0-9]{36})"
+    rf"(?!{RUN})|(?<!{RUN})[A-Za-z0-9_-]{{2,}}+(?:\.[A-Za-z0-9_-]{{6,}}+){{0,100}}\.[A-Za-z0-9_-]{{16,}}+(?!{RUN})"
+    rf"|(?<!{RUN})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])(?!{RUN}{{0,60}}?{KEY}{VALUE}){RUN}{{12,}}+={{0,2}})")
+CANDIDATE = rf"(?:{KEY}{VALUE}|{SHAPE})"
+#: the text up to a candidate or to the end, and the candidate; these pieces make up the whole text.
+#: The empty group tells whether a key was read, since only then the value may be of any form.
+IN_PLACE = rf"([\s\S]*?(?:{KEY}()(?={VALUE})|(?={SHAPE})|\z))((?:\2{VALUE}|{SHAPE})?)"
 FEATURES = (
     "length", "digit_share", "upper_share", "entropy", "changes", "common_pairs", "dictionary", "hex", "uuid", "provider",
     "slashes", "plain_path", "word_before", "assigned", "plain_before", "word_behind", "quoted")
@@ -66,10 +82,19 @@ def findings(docs: DataFrame, path_column: str = "source") -> DataFrame:
     shaped = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"),
         F.coalesce(F.col(path_column), F.lit("")).alias("path"), "text").filter(F.col("text").rlike(CANDIDATE))
-    parts = [F.regexp_extract_all("text", F.lit(IN_PLACE), F.lit(k)) for k in (1, 2, 3)]
-    placed = shaped.select("doc_id", "text_id", "path", F.explode(F.arrays_zip(
-        parts[0].alias("before"), parts[1].alias("candidate"), parts[2].alias("behind"))).alias("f"))
-    return placed.select("doc_id", "text_id", "path", "f.candidate", "f.before", "f.behind")
+    gaps, found = (F.regexp_extract_all("text", F.lit(IN_PLACE), F.lit(k)) for k in (1, 3))
+    placed = shaped.select("doc_id", "text_id", "path", gaps.alias("gaps"), found.alias("found")).withColumn(
+        "pieces", F.zip_with("gaps", "found", lambda a, b: F.concat(a, b)))
+
+    def around(c: Column, k: Column) -> Column:
+        # every piece up to a candidate has one character at least, so 40 of them hold 40 characters
+        before = F.concat(F.array_join(F.slice("pieces", F.greatest(k - 39, F.lit(1)), F.least(k, F.lit(40))), ""),
+                          F.get("gaps", k))
+        behind = F.array_join(F.slice("pieces", k + 2, F.lit(20)), "")
+        return F.struct(c.alias("candidate"), F.right(before, F.lit(40)).alias("before"), F.left(behind, F.lit(20)).alias("behind"))
+
+    return placed.select("doc_id", "text_id", "path", F.explode(F.transform("found", around)).alias("f")).filter(
+        "f.candidate != ''").select("doc_id", "text_id", "path", "f.candidate", "f.before", "f.behind")
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -136,7 +161,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 1) -> D
         (F.concat(F.lit("7"), F.substring(base64, F.lit(1), size)), F.concat(word, name, join), 1),
         (F.substring(more, 1, 40), F.concat(word, name, join), 1),
         (F.concat(F.lit("sk_live_"), F.substring(base64, 1, 24), F.lit("5")), F.concat(name, join), 1),
+        (F.concat(F.initcap(one_of(DICTIONARY.split("|"), 18)), one_of(["!", ".", "@", "#", "$", "%", "~", "2"], 19), pick.cast("string")), F.concat(word, name, join), 1),
+        (F.translate(F.substring(digest, F.lit(1), F.lit(8) + size % 12), "0123456789", "ghijklmnop"), F.concat(word, name, join), 1),
+        (F.concat(*[one_of("correct horse battery staple river stone candle purple hunter monkey dragon winter".split(), k) for k in (20, 21, 22)]), F.concat(word, name, join), 1),
+        (F.concat(one_of("hunter monkey dragon winter summer purple".split(), 23), (pick % 100).cast("string")), F.concat(word, name, join), 1),
+        (F.concat(F.lit("eyJ"), F.substring(base64, 1, 17), F.lit(".eyJ"), F.substring(base64, 20, 20), F.lit("."), F.rpad(F.substring(base64, 30, 43), 43, "k3")), word, 1),
         # others
+        (one_of(["string", "str", "None", "null", "true", "false", "required", "optional", "text", "value", "get_token()", "the", "a", "not", "int"], 24), F.concat(word, name, one_of([": ", " = ", "=", " is "], 25)), 0),
         (F.substring(digest, 1, 40), F.concat(word, other), 0),
         (F.substring(digest, 1, 64), F.concat(word, other), 0),
         (uuid, word, 0),
@@ -146,8 +177,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 1) -> D
         (F.substring(digest, F.lit(1), size), word, 0),
         (F.concat(one_of(["20240131T", "v1-2-3-rc", "ISBN978", "order-00", "fig-2024-"], 14), pick.cast("string"), F.lit("0001")), word, 0),
     ]
-    which = F.when(number % 2 == 0, F.pmod(F.xxhash64(digest, F.lit(15)), F.lit(6))).otherwise(
-        F.lit(6) + F.pmod(F.xxhash64(digest, F.lit(15)), F.lit(8)))
+    which = F.when(number % 2 == 0, F.pmod(F.xxhash64(digest, F.lit(15)), F.lit(11))).otherwise(
+        F.lit(11) + F.pmod(F.xxhash64(digest, F.lit(15)), F.lit(9)))
     candidate = before = label = F.lit(None)
     for k, (value, left, is_secret) in enumerate(kinds):
         candidate, before, label = (
@@ -192,9 +223,15 @@ def redact(docs: DataFrame, found: DataFrame, placeholder: str = PLACEHOLDER) ->
     side = secrets.select(F.col("doc_id").alias("of"), F.col("text_id").alias("of_text"), ordered.alias("secrets"))
     if at_most(side, FEW):
         side = F.broadcast(side)
+
+    def whole(s: Column) -> Column:
+        # a short secret may be part of other words, which stay
+        quoted = F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        return F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?:(?<![A-Za-z0-9])|(?![A-Za-z0-9]))"))
+
     joined = given.join(side, (F.col("doc_id").eqNullSafe(F.col("of"))) & (F.col("text_id") == F.col("of_text")), "left")
     text = F.when(F.col("secrets").isNull(), F.col("given.text")).otherwise(F.aggregate(
-        "secrets", F.col("given.text"), lambda t, s: F.replace(t, s, F.lit(placeholder))))
+        "secrets", F.col("given.text"), lambda t, s: F.regexp_replace(t, whole(s), F.lit(placeholder))))
     changed = joined.withColumn("new_text", text)
     return changed.select(*[
         F.col("new_text").alias(c) if c == "text"
