@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import chat, decontaminate, extract, jaccard_join, packing, quality, secrets, sql, suffix_dedup, url_filter, warc
+from docketry.llm import (
+    chat, decontaminate, extract, jaccard_join, packing, pieces, quality, secrets, sql, suffix_dedup, url_filter, warc)
 from docketry.llm.tables import read_table, settle
 
 
@@ -98,6 +99,20 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(read_table(spark, folder, "pages"), extract.train_tree(spark))
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces and back."""
+    made = pieces.encode(read_table(spark, folder, "documents"), piece_model_path())
+    return pieces.decode(made, piece_model_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(pieces.joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -109,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op12_piece_encoding": op12_piece_encoding,
 }
 
 ORACLES: dict[str, str] = {
