@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    chat, decontaminate, extract, jaccard_join, packing, pieces, quality, secrets, sql, suffix_dedup, url_filter, warc)
+    chat, collocations, decontaminate, extract, jaccard_join, packing, pieces, quality, secrets, sql, suffix_dedup, url_filter, warc)
 from docketry.llm.tables import read_table, settle
 
 
@@ -113,6 +113,11 @@ def op12_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pieces.joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two to four words of every language."""
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_url_filter": op2_url_filter,
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
     "op12_piece_encoding": op12_piece_encoding,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -133,4 +139,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": sql.CHAT,
     "op7_jaccard_join": sql.JACCARD,
     "op8_suffix_dedup": sql.REPEATS,
+    "op13_collocations": sql.COLLOCATIONS,
 }

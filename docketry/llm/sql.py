@@ -84,13 +84,36 @@ later as (select doc_id, s from starts join firsts using (w) where (doc_id, s) <
 apart as (select *, coalesce(s - lag(s) over (partition by doc_id order by s) > 100, true) as is_new from later),
 spans as (select doc_id, min(s) as low, max(s) + 100 as high from (
   select *, count(*) filter (is_new) over (partition by doc_id order by s) as span from apart) group by doc_id, span),
-gaps as (select doc_id, high as low, coalesce(lead(low) over (partition by doc_id order by low), n) as high
+gaps as (select doc_id, high as low, coalesce(lead(low) over (partition by doc_id order by low, high), n) as high
   from (select doc_id, 0 as low, 0 as high, n from docs where doc_id in (select doc_id from spans)
     union all select doc_id, low, high, n from spans join docs using (doc_id))),
-kept as (select doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' order by low) as h
+kept as (select doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' order by low, high) as h
   from gaps join docs using (doc_id) group by 1),
 removed as (select doc_id, cast(sum(high - low) as bigint) as n_removed, count(*) as n_spans from spans group by 1)
 select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
   sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
 from docs d left join removed using (doc_id) left join kept k using (doc_id)
 """
+
+COLLOCATIONS = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, regexp_extract_all(p, '[^\x20\x09]+') as words
+  from (select lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) as p from documents)),
+total as (select lang, sum(len(words))::bigint as n from pieces group by 1),
+phrases as (select lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') as phrase, count(*) as f
+  from (select lang, words, k, unnest(range(1, len(words) - k + 2)) as i
+    from pieces cross join (select unnest(range(1, 5)) as k) where len(words) >= k)
+  group by all having count(*) >= 30),
+cuts as (select lang, k, phrase, f, unnest(range(1, k)) as cut from phrases),
+parts as (select *, array_to_string(list_slice(string_split(phrase, ' '), 1, cut), ' ') as head,
+  array_to_string(list_slice(string_split(phrase, ' '), cut + 1, k), ' ') as tail from cuts),
+scored as (select p.lang, p.k, p.phrase, p.f as a, h.f as l, t.f as r, p.cut,
+  (2000000::hugeint * p.f // (h.f + t.f))::bigint as score
+  from parts p join phrases h on h.lang = p.lang and h.phrase = head join phrases t on t.lang = p.lang and t.phrase = tail),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_runs as (select lang, array_to_string(list_slice(string_split(phrase, ' '), i, i + m - 1), ' ') as phrase, max(f) as longer
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from phrases where k > 2))
+  group by all),
+kept as (select b.* from best b left join inner_runs using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, row_number() over w as rank, phrase, a, l, r, n, score from kept join total using (lang)
+window w as (partition by lang order by score desc, a desc, encode(phrase)) qualify rank <= 2000
+"""
