@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    chat, collocations, decontaminate, extract, jaccard_join, packing, pieces, quality, secrets, sql, suffix_dedup, url_filter, warc)
+    chat, collocations, decontaminate, extract, hard_negatives, jaccard_join, packing, pieces, quality, secrets, sql,
+    suffix_dedup, url_filter, warc)
 from docketry.llm.tables import read_table, settle
 
 
@@ -99,6 +100,13 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(read_table(spark, folder, "pages"), extract.train_tree(spark))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of other labels that score almost as high as the positives of every hundredth row."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(read_table(spark, folder, "embeddings"), label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0).drop("blocks_read", "blocks")
+
+
 def piece_model_path() -> str:
     import public_tokenizers
 
@@ -129,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_piece_encoding": op12_piece_encoding,
     "op13_collocations": op13_collocations,
 }
@@ -139,5 +148,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": sql.CHAT,
     "op7_jaccard_join": sql.JACCARD,
     "op8_suffix_dedup": sql.REPEATS,
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
     "op13_collocations": sql.COLLOCATIONS,
 }

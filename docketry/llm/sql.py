@@ -117,3 +117,20 @@ kept as (select b.* from best b left join inner_runs using (lang, phrase) where
 select lang, row_number() over w as rank, phrase, a, l, r, n, score from kept join total using (lang)
 window w as (partition by lang order by score desc, a desc, encode(phrase)) qualify rank <= 2000
 """
+
+HARD_NEGATIVES = """
+with given as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, a.label = b.label as is_same, b.vec_id,
+    cast(list_dot_product(a.v, b.v) as bigint) as score
+  from given a join given b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where is_same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as int) as rank, n.vec_id as negative_id,
+  positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.is_same
+  and 80 * positive_score <= 100 * n.score and n.score <= positive_score
+window w as (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id) qualify rank <= 5
+"""
