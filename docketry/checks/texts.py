@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docketry.checks.base import Data, common, query
 from docketry.functions import pii, text, values
 from docketry.operators import ingest, similarity
+from docketry.operators.near_copies import corpus_near_duplicates
 from docketry.session import shared_folder
 from docketry.sources import files, sinks
 from docketry.sources.tables import SCHEMAS
@@ -361,3 +362,46 @@ def _(d: Data):
 def _(d: Data):
     return ingest.embed_with(chunks(d), ingest.hashing_embedder(64), ["document_id", "position"]).select(
         "document_id", "position", F.size("vector").alias("width"))
+
+
+#: parts by name and brand, largest first; a later one that lies in, holds or is 85 percent like a kept one goes
+PART_COPIES = """
+with recursive named as (select p_partkey as document_id, lower(p_name || ' ' || p_brand) as t,
+    row_number() over (order by p_size desc, p_partkey) as r from part),
+texts as (select t, min(r) as r, length(t) as n, string_split(t, '') as letters from named group by t),
+masks as (select t, map_from_entries(list((letter, bits))) as mask from (
+  select t, letter, bit_or(1::bigint << (i - 1)) as bits
+  from (select t, unnest(letters) as letter, generate_subscripts(letters, 1) as i from texts) group by all) group by t),
+pairs as (select a.r as early, b.r as late, contains(a.t, b.t) or contains(b.t, a.t) as inside,
+    a.n, a.n + b.n as total, (1::bigint << a.n) - 1 as whole,
+    list_transform(b.letters, lambda c: coalesce(m.mask[c], 0)) as steps
+  from texts a join masks m using (t) join texts b on a.r < b.r and 2.0 * least(a.n, b.n) / (a.n + b.n) >= 0.85
+  or a.r < b.r and (contains(a.t, b.t) or contains(b.t, a.t))),
+alike as (select early, late from (select *, bit_count(list_reduce(steps,
+    lambda s, m: ((s + (s & m)) | (s - (s & m))) & whole, whole)) as unmatched from pairs)
+  where inside or 2.0 * (n - unmatched) / total >= 0.85),
+before as (select row_number() over (order by t.r) as step, t.r, coalesce(list(early) filter (early is not null), []) as earlier
+  from texts t left join alike a on a.late = t.r group by t.r),
+greedy as (select 0::bigint as step, []::bigint[] as kept
+  union all select b.step, case when list_has_any(b.earlier, g.kept) then g.kept else list_append(g.kept, b.r) end
+  from greedy g join before b on b.step = g.step + 1),
+last as (select kept from greedy order by step desc limit 1),
+heads as (select b.r, list_min(list_intersect(b.earlier, kept)) as by_r from before b cross join last)
+select n.document_id, coalesce(by_r, case when n.r <> t.r then t.r end) is null as kept,
+  (select k.document_id from named k where k.r = coalesce(by_r, case when n.r <> t.r then t.r end)) as duplicate_of
+from named n join texts t using (t) join heads h on h.r = t.r
+"""
+
+
+@query("corpus_near_duplicates", PART_COPIES)
+def _(d: Data):
+    named = d.table("part").select(
+        F.col("p_partkey").alias("document_id"), F.concat("p_name", F.lit(" "), "p_brand").alias("content"),
+        F.col("p_size").alias("score"))
+    return corpus_near_duplicates(named)
+
+
+@query("corpus_near_duplicate_documents")
+def _(d: Data):
+    texts = d.table("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    return corpus_near_duplicates(texts.withColumn("score", F.length("content")))
