@@ -1,12 +1,13 @@
 """Phrases whose words come together more often than apart, by counting longest windows once.
 
-1. Texts are cut into pieces and words. `frequent` counts words and neighbouring pairs by hash
-   and keeps a Bloom filter of those found `min_count` times or more: a candidate holds no
-   other word or pair. The filter has a bounded size; what it lets through in error is counted
-   like the rest and cut later, so it changes the work and never the result.
+1. Texts are cut into pieces and words. `hash_counts` counts words and neighbouring pairs by
+   hash, then three words whose pairs are frequent; `frequent` makes Bloom filters of those found
+   `min_count` times or more. A candidate holds no other word, pair or triple. The filters have a
+   bounded size; what they let through in error is counted like the rest and cut later, so they
+   change the work and never the result.
 2. `lead_windows`: every frequent word leads one window of the longest order, padded with NULL
-   where its piece ends or the next pair is not frequent. Only these windows are counted, first
-   in the task, then in a shuffle of one row per task and different window.
+   where its piece ends or the next words are not frequent together. Only these windows are
+   counted, first in the task, then in a shuffle of one row per task and different window.
 3. `phrase_counts`: Spark's ROLLUP over the window's columns sums the windows that share their
    first three, two and one words: a phrase of k words occurs once per window it leads. Rows
    whose last word is padding are no phrases; what is rarer than `min_count` goes.
@@ -36,7 +37,8 @@ from docketry.llm.textbytes import STEPS, U64, Words, mixed, slices, table
 from docketry.operators.common import top_per
 
 ORDER = 4
-SLICE = 2_000_000
+SLICE = 400_000
+HELD = 3_000_000  # hashes that a task holds before it counts them
 FILTER_BITS = 1 << 27  # at most; 16 MB sent to every executor
 PROBES = 4
 #: bytes that end a piece: . , ; : ! ? and line ends; spaces and tabs stand between words
@@ -64,41 +66,79 @@ class Lead:
             if n > 1:
                 self.pair[:-1] = mixed(plain[:-1] * STEPS[0] + plain[1:] * STEPS[1] + seed[:-1])
 
+    def follows(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether a word and the next one stand in one piece and their pair may be frequent."""
+        out = self.linked.copy()
+        out[out] = holds(pairs, self.pair[out])
+        return out
 
-def lang_numbers(lang: pa.Array, known: dict[str, int]) -> np.ndarray:
-    """A 64-bit number for each language, the same in every task."""
-    import xxhash
+    def two_follow(self, follows: np.ndarray) -> np.ndarray:
+        return follows & np.append(follows[1:], np.zeros(min(1, len(follows)), bool))
 
-    out = []
-    for name in lang.to_pylist():
-        if name not in known:
-            known[name] = xxhash.xxh64_intdigest(name)
-        out.append(known[name])
-    return np.array(out, U64)
+    def triples(self) -> np.ndarray:
+        """A hash of each word and the two after it; of use only where both stand in its piece."""
+        with np.errstate(over="ignore"):
+            return mixed(self.pair * STEPS[2] + np.append(self.pair[1:], np.zeros(min(1, len(self.pair)), U64)))
 
 
 def _given(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
 
-def hash_counts(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
-    """(lang, h, c): counts of word and pair hashes (lang NULL), and of all words of a language (h NULL)."""
+def leads(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[Lead, np.ndarray, list[str]]]:
+    """(words of a slice, number of each word's language, names of the numbers)."""
+    import xxhash
+
+    names: list[str] = []
+    numbers: dict[str, int] = {}
+    seeds: list[int] = []  # the same in every task
+    for batch in batches:
+        of = []
+        for name in batch.column(0).to_pylist():
+            if name not in numbers:
+                numbers[name] = len(names)
+                names.append(name)
+                seeds.append(xxhash.xxh64_intdigest(name))
+            of.append(numbers[name])
+        rows = np.array(of, np.int64)
+        for first, raw in slices(batch.column(1), slice_bytes):
+            own = rows[first: first + len(raw)]
+            lead = Lead(raw, np.array(seeds, U64)[own])
+            yield lead, own[lead.words.text], names
+
+
+def hash_counts(docs: DataFrame, pairs: np.ndarray | None = None, slice_bytes: int = SLICE) -> DataFrame:
+    """(lang, h, c): how often a hash occurs (lang NULL); with h NULL, all words of a language.
+
+    Without `pairs` the hashes are those of words and pairs; with a filter of frequent ones, those
+    of three words whose two pairs it holds.
+    """
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("c", pa.int64())])
+    sent = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            names = batch.column(0)
-            for first, raw in slices(batch.column(1), slice_bytes):
-                part = names.slice(first, len(raw))
-                lead = Lead(raw, lang_numbers(part, known))
-                h, c = np.unique(np.concatenate([lead.word, lead.pair[lead.linked]]), return_counts=True)
-                rows = part.dictionary_encode()
-                per = np.bincount(rows.indices.to_numpy(zero_copy_only=False)[lead.words.text], minlength=len(rows.dictionary))
-                yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([rows.dictionary, pa.nulls(len(h), pa.string())]),
-                    pa.concat_arrays([pa.nulls(len(per), pa.int64()), pa.array(h.view(np.int64))]),
-                    pa.array(np.concatenate([per, c]).astype(np.int64))], schema=schema)
+        held: list[np.ndarray] = []
+        total: dict[str, int] = {}
+        for lead, lang, names in leads(batches, slice_bytes):
+            if sent is None:
+                for i, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
+                    total[names[i]] = total.get(names[i], 0) + n
+                held += [lead.word, lead.pair[lead.linked]]
+            else:
+                held.append(lead.triples()[lead.two_follow(lead.follows(sent.value))])
+            if sum(map(len, held)) > HELD:
+                yield counted(held)
+                held = []
+        if held:
+            yield counted(held)
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total)), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()))], schema=schema)
 
     return _given(docs).mapInArrow(run, "lang string, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
 
@@ -137,59 +177,75 @@ def holds(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def numbered(words: Words, used: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(number of each used word, the different words): equal numbers are equal bytes."""
-    text = words.bytes.tobytes()
-    known: dict[bytes, int] = {}
-    number = [known.setdefault(text[b:e], len(known)) for b, e in zip(words.begin[used].tolist(), words.end[used].tolist())]
-    return np.array(number, np.int64), list(known)
-
-
-def lead_windows(docs: DataFrame, bloom: np.ndarray, order: int = ORDER, slice_bytes: int = SLICE) -> DataFrame:
-    """(lang, w1 .. w<order>, c): windows led by frequent words, padded with NULL, counted per slice."""
-    names = [f"w{k + 1}" for k in range(order)]
-    schema = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in names), ("c", pa.int64())])
-    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+class Windows:
+    """Windows of several slices, as numbers of words, until they are counted together."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.known, self.held = schema, {}, []
+
+    def __len__(self) -> int:
+        return sum(len(c[0]) for c in self.held)
+
+    def add(self, words: Words, used: np.ndarray, lang: np.ndarray, opens: list[np.ndarray]) -> None:
+        """Windows of the used words; opens[k] tells where the window reaches k + 1 words on."""
+        text, known = words.bytes.tobytes(), self.known
+        number = [known.setdefault(text[b:e], len(known)) for b, e in zip(words.begin[used].tolist(), words.end[used].tolist())]
+        at = np.full(len(used) + len(opens), -1, np.int64)
+        at[: len(used)][used] = number
+        self.held.append([lang[used], np.array(number, np.int64), *(
+            np.where(o, at[k + 1: k + 1 + len(used)], -1)[used] for k, o in enumerate(opens))])
+
+    def counted(self, names: list[str]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        keys, base = np.zeros(len(columns[0]), np.int64), max(len(self.known), len(names)) + 1
+        for column in columns:  # numbers of different rows, one column after the other
+            _, keys = np.unique(keys * base + column + 1, return_inverse=True)
+        _, one, c = np.unique(keys, return_index=True, return_counts=True)
+        spelled = pa.array(list(self.known), pa.binary()).cast(pa.string())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(names).take(pa.array(columns[0][one]))]
+            + [spelled.take(pa.array(x[one], mask=x[one] < 0)) for x in columns[1:]] + [pa.array(c.astype(np.int64))],
+            schema=self.schema)
+        self.known, self.held = {}, []
+        return batch
+
+
+def lead_windows(docs: DataFrame, pairs: np.ndarray, triples: np.ndarray, order: int = ORDER, slice_bytes: int = SLICE) -> DataFrame:
+    """(lang, w1 .. w<order>, c): windows led by frequent words, padded with NULL, counted in the task."""
+    columns = [f"w{k + 1}" for k in range(order)]
+    schema = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in columns), ("c", pa.int64())])
+    sent = docs.sparkSession.sparkContext.broadcast((pairs, triples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            for first, raw in slices(batch.column(1), slice_bytes):
-                part = batch.column(0).slice(first, len(raw)).dictionary_encode()
-                lead = Lead(raw, lang_numbers(batch.column(0).slice(first, len(raw)), known))
-                used = holds(sent.value, lead.word)
-                follows = lead.linked & holds(sent.value, lead.pair)
-                used |= follows
-                used[1:] |= follows[:-1]
-                if not used.any():
-                    continue
-                number, words = numbered(lead.words, used)
-                at = np.full(len(used) + order, -1, np.int64)
-                at[: len(used)][used] = number
-                # the longest window of each word; -1 past its end
-                columns, open_ = [part.indices.to_numpy(zero_copy_only=False).astype(np.int64)[lead.words.text][used], number], used
-                for k in range(1, order):
-                    open_ = open_ & np.append(follows, np.zeros(order, bool))[k - 1: k - 1 + len(used)]
-                    columns.append(np.where(open_, at[k: k + len(used)], -1)[used])
-                keys = np.zeros(len(number), np.int64)
-                for column in columns:  # numbers of different rows, one column after the other
-                    _, keys = np.unique(keys * (len(words) + len(part.dictionary) + 1) + column + 1, return_inverse=True)
-                _, one, c = np.unique(keys, return_index=True, return_counts=True)
-                spelled = pa.array(words, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.dictionary.take(pa.array(columns[0][one]))]
-                    + [spelled.take(pa.array(x[one], mask=x[one] < 0)) for x in columns[1:]] + [pa.array(c.astype(np.int64))],
-                    schema=schema)
-
-    return _given(docs).mapInArrow(run, f"lang string, {', '.join(f'{w} string' for w in names)}, c long")
+        found, names = Windows(schema), []
+        two, three = sent.value
+        for lead, lang, names in leads(batches, slice_bytes):
+            follows = lead.follows(two)
+            used = holds(two, lead.word) | follows
+            used[1:] |= follows[:-1]
+            both = lead.two_follow(follows)
+            both[both] = holds(three, lead.triples()[both])
+            opens = [follows]  # the window reaches a word further where the last three words are frequent
+            for k in range(2, order):
+                opens.append(opens[-1] & np.append(both[k - 2:], np.zeros(min(k - 2, len(both)), bool)))
+            if used.any():
+                found.add(lead.words, used, lang, opens)
+            if len(found) > HELD // 8:
+                yield found.counted(names)
+        if found.held:
+            yield found.counted(names)
+
+    return _given(docs).mapInArrow(run, f"lang string, {', '.join(f'{w} string' for w in columns)}, c long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 30, order: int = ORDER, most_bits: int = FILTER_BITS,
                   slice_bytes: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """((lang, words, f): phrases of up to `order` words found `min_count` times; (lang, n): all words)."""
-    counts = settle(hash_counts(docs, slice_bytes).filter((F.col("c") >= min_count) | F.col("h").isNull()))
+    counts = settle(hash_counts(docs, None, slice_bytes).filter((F.col("c") >= min_count) | F.col("h").isNull()))
+    pairs = frequent(counts, most_bits)
+    triples = frequent(settle(hash_counts(docs, pairs, slice_bytes).filter(F.col("c") >= min_count)), most_bits)
     names = [f"w{k + 1}" for k in range(order)]
-    longest = lead_windows(docs, frequent(counts, most_bits), order, slice_bytes).groupBy("lang", *names).agg(F.sum("c").alias("c"))
+    longest = lead_windows(docs, pairs, triples, order, slice_bytes).groupBy("lang", *names).agg(F.sum("c").alias("c"))
     sums = longest.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("left_out")).filter(F.col("f") >= min_count)
     # a prefix of k words leaves out the last order - k columns; it is a phrase if its last word is none of the padding
     whole = F.coalesce(*[
