@@ -99,7 +99,7 @@ class Normalized:
 class PieceModel:
     """A model file; raises ValueError for kinds of models that are not read here."""
 
-    CACHED = 500_000  # different segments kept by a task; beyond, they are forgotten and merged anew
+    CACHED = 800_000  # different segments, and runs in them, kept by a task; beyond, they are forgotten and merged anew
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as formats
@@ -132,7 +132,12 @@ class PieceModel:
         #: the bytes of ordinary pieces and byte pieces
         self.spelled = {i: p.piece.replace(SPACE, " ").encode() for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.spelled |= {i: bytes([b]) for i, b in self.byte_of.items()}
+        #: neighbours inside a piece
+        self.joins = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
         self.cut = self._segments()
+        self.size_of = [len(p.encode()) for p in self.pieces]
+        #: ids of runs made of ordinary pieces
+        self.merged: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _segments(self) -> re.Pattern:
@@ -230,12 +235,28 @@ class PieceModel:
             offer(i, after[i])
         return [p for p in parts if p]
 
+    def runs(self, segment: str) -> list[str]:
+        """A segment cut between characters that stand next to each other in no piece."""
+        cuts = [i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair not in self.joins]
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])] if cuts else [segment]
+
     def entry(self, segment: str) -> int:
         """The number of a segment whose ids and piece sizes (normalized bytes) are kept."""
-        parts = self.merge(segment)
-        ids, sizes = [self.ids.get(p) for p in parts], [len(p.encode()) for p in parts]
-        if None in ids:
-            ids, sizes = self._spelled_out(parts)
+        ids: list[int] = []
+        sizes: list[int] = []
+        for part in self.runs(segment):
+            made = self.merged.get(part)
+            if made is None:
+                pieces = self.merge(part)
+                made = tuple(map(self.ids.get, pieces))
+                if None in made:
+                    spelled = self._spelled_out(pieces)
+                    ids += spelled[0]
+                    sizes += spelled[1]
+                    continue
+                self.merged[part] = made
+            ids += made
+            sizes += map(self.size_of.__getitem__, made)
         number = self.known[segment] = len(self.counts)
         self.counts.append(len(ids))
         self.kept_ids.extend(ids)
@@ -261,6 +282,8 @@ class PieceModel:
         """(ids, first original byte, end of original bytes) of the pieces of each text."""
         if len(self.known) > self.CACHED:
             self._forget()
+        if len(self.merged) > self.CACHED:
+            self.merged.clear()
         forms = [self.normalize(t) for t in texts]
         numbers = []
         for form in forms:

@@ -42,20 +42,25 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids, begins, ends): the pieces of every text and the original bytes of each."""
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", back: bool = False) -> DataFrame:
+    """(key, ids, begins, ends): the pieces of every text and the original bytes of each.
+
+    With `back`, also `decoded`, the text of the ids, made by the same task.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    names = [key, "ids", "begins", "ends"] + ["decoded"] * back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
         for batch in batches:
             for first, raw in slices(batch.column(1)):
                 made = model.encode([t.decode() for t in raw])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(raw)), *(_lists([m[k] for m in made]) for k in range(3))],
-                    names=[key, "ids", "begins", "ends"])
+                columns = [batch.column(0).slice(first, len(raw)), *(_lists([m[k] for m in made]) for k in range(3))]
+                if back:
+                    columns.append(pa.array([model.decode(m[0].tolist()) for m in made], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(key, text).mapInArrow(run, ENCODED.format(id=f"`{key}`", kind=kind))
+    return docs.select(key, text).mapInArrow(run, ENCODED.format(id=f"`{key}`", kind=kind) + ", decoded string" * back)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:

@@ -115,8 +115,8 @@ def piece_model_path() -> str:
 
 def op12_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as pieces and back."""
-    made = pieces.encode(read_table(spark, folder, "documents"), piece_model_path())
-    return pieces.decode(made, piece_model_path()).select(
+    made = pieces.encode(read_table(spark, folder, "documents"), piece_model_path(), back=True)
+    return made.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(pieces.joined(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -117,6 +117,16 @@ def test_query_on_odd_rows(spark, odd_docs, frame, tmp_path, given_model):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_decoding_apart_from_encoding(spark, odd_docs, frame):
+    from tests.llm.conftest import DOCS
+
+    path = queries.piece_model_path()
+    docs = frame(odd_docs, DOCS)
+    at_once = pieces.encode(docs, path, back=True).select("doc_id", "decoded")
+    assert sorted(map(str, pieces.decode(pieces.encode(docs, path), path).select("doc_id", "decoded").collect())) \
+        == sorted(map(str, at_once.collect()))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.decode(pieces.encode(docs, queries.piece_model_path()), queries.piece_model_path()).collect() == []
