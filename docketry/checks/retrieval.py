@@ -11,6 +11,7 @@ from docketry.functions import values
 from docketry.operators import retrieval as op
 from docketry.operators.similarity import dedupe_similar_chunks
 from docketry.plans import answers
+from docketry.session import settle
 
 common("chunk_ids", "select *, document_id * 100000 + position as chunk_id from chunks")
 common("semantic", """
@@ -71,7 +72,7 @@ def asked(d: Data):
 
 
 def open_chunks(d: Data, questions=None):
-    return op.permitted_chunks(chunks(d), questions or asked(d), d.docs, d.grants)
+    return settle(op.permitted_chunks(chunks(d), questions or asked(d), d.docs, d.grants))
 
 
 def semantic(d: Data, **kw):

@@ -13,6 +13,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,31 +46,50 @@ def median_word_height(words: DataFrame) -> DataFrame:
         F.expr("percentile_disc(0.5) within group (order by h desc)").alias("h"))
 
 
+def _lines(words: DataFrame, tol: float) -> DataFrame:
+    """(doc_id, page, cy, h, first, island): the different heights of a page, in groups that are
+    further apart than any row reaches.
+
+    Words of equal center and height always share a row, so the first of them stands for all.
+    A page is cut into cells as high as its tallest reach; an empty cell is a gap that no row
+    crosses, and the cells between two gaps are an island.
+    """
+    lines = settle(words.select(
+        "doc_id", "page", ((F.col("y0") + F.col("y1")) / 2).alias("cy"),
+        F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")).alias("h"), "word_idx",
+    ).groupBy("doc_id", "page", "cy", "h").agg(F.min("word_idx").alias("first")))
+    pages = ["doc_id", "page"]
+    tall = lines.groupBy(*pages).agg((tol * F.max("h")).alias("reach"))
+    # a little higher than the reach, for rounding
+    celled = lines.join(tall, pages).withColumn("cell", F.floor(F.col("cy") / (F.greatest(F.col("reach"), F.lit(1e-9)) * 1.000001)))
+    occupied = celled.select(*pages, "cell").distinct()
+    along = Window.partitionBy(*pages).orderBy("cell")
+    opens = F.when(F.col("cell") - F.lag("cell").over(along) > 1, F.col("cell"))
+    islands = occupied.withColumn("opens", opens).withColumn(
+        "island", F.coalesce(F.last("opens", ignorenulls=True).over(along), F.first("cell").over(along))).drop("opens")
+    return celled.join(islands, [*pages, "cell"]).drop("cell")
+
+
 def visual_rows(words: DataFrame, tol: float = 0.6) -> DataFrame:
     """Words with row_id: the number of their visual row on the page.
 
     In order of height a word joins the first row whose first word is within
-    `tol` heights, else it opens a row. Rows depend on the rows before them, so each
-    page is walked once in order, streaming: pages are hashed over the cluster, sorted
-    inside the task, and only the rows still in reach are held.
+    `tol` heights, else it opens a row. Rows depend on the rows before them, but not
+    across a gap: pages are cut into islands, each is walked once in order on narrow
+    rows, and the rows of earlier islands are added up.
     """
-    y = (F.col("y0") + F.col("y1")) / 2
-    h = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
-    tallest = F.max("h").over(Window.partitionBy("doc_id", "page"))
-    ordered = (
-        words.withColumns({"cy": y, "h": h}).withColumn("tallest", tallest)
-        .repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "cy", "word_idx")
-    )
+    keys = ["doc_id", "page", "island"]
+    ordered = _lines(words, tol).repartition(*keys).sortWithinPartitions(*keys, "cy", "first")
+    kinds = dict(ordered.dtypes)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, rows, opened = None, deque(), 0
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rows, opened = None, deque(), 0
         for batch in batches:
             ids = []
-            columns = [batch[c].tolist() for c in ("doc_id", "page", "cy", "h", "tallest")]
-            for doc, number, cy, high, most in zip(*columns):
-                if (doc, number) != page:
-                    page, rows, opened = (doc, number), deque(), 0
-                while rows and cy - rows[0][0] > tol * most:
+            for doc, page, island, cy, high, reach in zip(*(batch[c].to_pylist() for c in (*keys, "cy", "h", "reach")), strict=True):
+                if (doc, page, island) != place:
+                    place, rows, opened = (doc, page, island), deque(), 0
+                while rows and cy - rows[0][0] > reach:
                     rows.popleft()
                 for row in rows:
                     if cy - row[0] <= tol * max(row[1], high):
@@ -79,10 +99,19 @@ def visual_rows(words: DataFrame, tol: float = 0.6) -> DataFrame:
                     rows.append(row)
                     opened += 1
                 ids.append(row[2])
-            yield batch.assign(row_id=ids)
-
-    schema = ", ".join(f"{c} {t}" for c, t in ordered.dtypes) + ", row_id int"
-    return ordered.mapInPandas(walk, schema).drop("tallest")
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in (*keys, "cy", "h")), pa.array(ids, pa.int32())], names=[*keys, "cy", "h", "nth"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "cy", "h")) + ", nth int"
+    walked = settle(ordered.select(*keys, "cy", "h", "reach").mapInArrow(walk, schema))
+    counts = walked.groupBy(*keys).agg((F.max("nth") + 1).alias("rows"))
+    before = Window.partitionBy("doc_id", "page").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("earlier"))
+    numbered = walked.join(offsets, keys).select(
+        "doc_id", "page", "cy", "h", (F.col("earlier") + F.col("nth")).cast("int").alias("row_id"))
+    sized = words.withColumns({
+        "cy": (F.col("y0") + F.col("y1")) / 2, "h": F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))})
+    return sized.join(numbered, ["doc_id", "page", "cy", "h"]).select(*words.columns, "cy", "h", "row_id")
 
 
 # --- labels --------------------------------------------------------------------------------

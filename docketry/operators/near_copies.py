@@ -22,13 +22,16 @@ same rounds go on over the pairs found alike, until nothing is left.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.grams import TABLE, U64, from_texts, grams, numbered, rare_first
+from docketry.functions.grams import points as points_of
+from docketry.functions.grams import slot as slot_of
 from docketry.functions.text import normalize_ws
 from docketry.operators.similarity import at_least
 from docketry.session import settle
@@ -36,48 +39,14 @@ from docketry.session import settle
 GRAM, WINDOW = 8, 13
 RUN = GRAM + WINDOW - 1  # characters in a row that two texts share at least one fingerprint on
 SHORT = 200
-TABLE = 1 << 18  # counters of grams by hash; only their order matters
 ROUNDS = 8
 MEMBER = "key long, kind string, id {kind}, neg double"
-_U = np.uint64
-_ODD = np.array([2 * i * 0x9E3779B97F4A7C15 + 0xD6E8FEB86659FD93 & (1 << 64) - 1 for i in range(16)], _U) | _U(1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(_U)
-
-
-def _grams(points: np.ndarray, q: int) -> np.ndarray:
-    """A hash of every run of q characters."""
-    n = len(points) - q + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    with np.errstate(over="ignore"):
-        total = np.full(n, _U(q), _U)
-        for k in range(q):
-            total += _mix(points[k: k + n] + _U(1)) * _ODD[k]
-    return _mix(total)
 
 
 def _fingerprints(points: np.ndarray) -> np.ndarray:
     """The least gram hash of every window, each once."""
-    h = _grams(points, GRAM)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(1)) if len(h) >= WINDOW else np.zeros(0, _U)
-
-
-def _numbered(h: np.ndarray) -> np.ndarray:
-    """Equal hashes made different: the first, second, ... of its kind in the text."""
-    h = np.sort(h)
-    nth = np.arange(len(h)) - np.searchsorted(h, h)
-    with np.errstate(over="ignore"):
-        return _mix(h + nth.astype(_U) * _ODD[9])
+    h = grams(points, GRAM)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(1)) if len(h) >= WINDOW else np.zeros(0, U64)
 
 
 class Rule:
@@ -106,48 +75,17 @@ class Rule:
         return ([1] if n < self.sum and self.q > 1 else []) + ([self.q] if self.q == 1 or n * (1 + 1 / self.least) >= self.sum else [])
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(40)).astype(np.int64) & (TABLE - 1)
-
-
-def _rare_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return h[np.lexsort((h, counts[_slot(h)]))]
-
-
-def _in_batches(df: DataFrame, schema: str, of_text: Callable[[str], dict]) -> DataFrame:
-    """Rows made from the column `text` and what stands beside it, batch by batch."""
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            beside = [n for n in batch.schema.names if n in names]
-            parts, rows = {n: [] for n in names if n not in beside}, []
-            for row, text in enumerate(batch["text"]):
-                made = of_text(text.as_py())
-                size = len(next(iter(made.values())))
-                for n, x in made.items():
-                    parts[n].append(x)
-                rows.append(np.full(size, row))
-            at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            columns = {n: batch[n].take(pa.array(at)) for n in beside}
-            columns |= {n: pa.array(np.concatenate(x)) for n, x in parts.items()} if rows else {}
-            if len(at):
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    return df.mapInArrow(run, schema)
-
-
 def _counts(texts: DataFrame, rule: Rule) -> np.ndarray:
     """How often each slot's grams are looked up or held; a table of fixed size."""
     def slots(text: str) -> dict:
-        points = _points(text)
-        h = [_fingerprints(points)] + [_numbered(_grams(points, q)) for q in rule.kinds(len(points))]
+        points = points_of(text)
+        h = [_fingerprints(points)] + [numbered(grams(points, q)) for q in rule.kinds(len(points))]
         if len(points) < RUN:
-            h.append(_grams(points, min(3, len(points))))
-        slot, c = np.unique(_slot(np.concatenate(h)), return_counts=True)
+            h.append(grams(points, min(3, len(points))))
+        slot, c = np.unique(slot_of(np.concatenate(h)), return_counts=True)
         return {"slot": slot, "c": c.astype(np.int64)}
 
-    made = _in_batches(texts.select("text"), "slot long, c long", slots).groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    made = from_texts(texts.select("text"), "slot long, c long", slots).groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(TABLE, np.int64)
     out[made["slot"].to_numpy()] = made["c"].to_numpy()
     return out
@@ -156,38 +94,36 @@ def _counts(texts: DataFrame, rule: Rule) -> np.ndarray:
 def _members(texts: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
     """(key, kind, id, neg): s rows meet each other, a p row meets p and h rows of its key."""
     def rarest(points: np.ndarray) -> np.ndarray:
-        h = _fingerprints(points) if len(points) >= RUN else _grams(points, min(3, len(points)))
-        return _rare_first(h, counts)[:1]
+        h = _fingerprints(points) if len(points) >= RUN else grams(points, min(3, len(points)))
+        return rare_first(h, counts)[:1]
 
     # which short grams anybody looks for: a table of fixed size, empty where no text is that short
     asked = np.zeros(TABLE, bool)
     tiny = texts.filter(F.length("text") < RUN).select("text")
-    asked[_in_batches(tiny, "slot long", lambda t: {"slot": _slot(rarest(_points(t)))}).distinct().toArrow()["slot"].to_numpy()] = True
+    asked[from_texts(tiny, "slot long", lambda t: {"slot": slot_of(rarest(points_of(t)))}).distinct().toArrow()["slot"].to_numpy()] = True
     any_tiny = bool(asked.any())
 
     def keys(text: str) -> dict:
-        points = _points(text)
-        similar = [_rare_first(_numbered(_grams(points, q)), counts)[: rule.sized(len(points), q)] ^ _U(q) for q in rule.kinds(len(points))]
+        points = points_of(text)
+        similar = [rare_first(numbered(grams(points, q)), counts)[: rule.sized(len(points), q)] ^ U64(q) for q in rule.kinds(len(points))]
         marks = _fingerprints(points)
         if len(points) > rule.short:
-            similar.append(_rare_first(marks, counts)[: len(marks) - len(marks) // 4] ^ _U(99))
+            similar.append(rare_first(marks, counts)[: len(marks) - len(marks) // 4] ^ U64(99))
         hosts = [marks]
         if any_tiny:
-            grams = np.unique(np.concatenate([_grams(points, q) for q in (1, 2, 3)]))
-            hosts.append(grams[asked[_slot(grams)]])
+            tiny_grams = np.unique(np.concatenate([grams(points, q) for q in (1, 2, 3)]))
+            hosts.append(tiny_grams[asked[slot_of(tiny_grams)]])
         probe = rarest(points)
         host = np.setdiff1d(np.concatenate(hosts), probe)
-        s = np.concatenate(similar) if similar else np.zeros(0, _U)
-        key = np.concatenate([s, probe ^ _U(77), host ^ _U(77)])
+        s = np.concatenate(similar) if similar else np.zeros(0, U64)
+        key = np.concatenate([s, probe ^ U64(77), host ^ U64(77)])
         return {"key": key.view(np.int64), "kind": np.repeat(np.array(["s", "p", "h"]), [len(s), len(probe), len(host)])}
 
-    made = _in_batches(texts.select("id", "neg", "text"), MEMBER.format(kind=dict(texts.dtypes)["id"]), keys)
-    # a host that nobody looks for, or a similar text alone at its key, needs no row
-    return made
+    return from_texts(texts.select("id", "neg", "text"), MEMBER.format(kind=dict(texts.dtypes)["id"]), keys)
 
 
 def _needed(members: DataFrame) -> DataFrame:
-    """Rows at keys where somebody can be met; a text without any other keeps one row of its own."""
+    """Rows at keys where somebody can be met."""
     met = members.groupBy("key").agg(
         F.count_if(F.col("kind") == "s").alias("s"), F.count_if(F.col("kind") == "p").alias("p"),
         F.count(F.lit(1)).alias("n")).filter((F.col("s") > 1) | ((F.col("p") > 0) & (F.col("n") > 1))).select("key")

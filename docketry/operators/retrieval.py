@@ -4,9 +4,9 @@ Chunks: chunk_id, document_id, position, page, content. Embeddings: document_id,
 position, vector. Questions: query_id, user_id, question, vector and optionally
 scope_id, the one document to look in.
 
-Scores of all questions against all chunks are never written out. Questions travel
-to the chunks in blocks of a fixed size; a task keeps the best k per question and
-only those are shuffled.
+Scores of all questions against all chunks are never written out. Vectors lie in an index
+(`vector_index`) and questions travel to the cells they need; keywords are looked up by
+trigram postings (`postings`). Both are exact.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +23,10 @@ from docketry import vocab
 from docketry.functions.text import has_content, keyword_overlap
 from docketry.operators.access import WIDE_KEYS, audience, live_documents, principals, wide_keys
 from docketry.operators.common import top_per
+from docketry.operators.postings import candidates
+from docketry.operators.vector_index import PIVOTS, VectorIndex, search, unit_rows
+from docketry.session import settle
 
-# Questions per block: what one task holds of the question side.
-QUERY_BLOCK = 2048
-# Chunk rows per cell where questions come in more than one block.
-CELL_ROWS = 50_000
-# Scores held at once while a batch is ranked.
-SCORE_CELLS = 4_000_000
 KEYWORD_SCORE = 0.5
 
 
@@ -68,163 +65,103 @@ def permitted_chunks(chunks: DataFrame, queries: DataFrame, docs: DataFrame, gra
     return chunks.join(readers, "document_id")
 
 
-def _block_count(queries: DataFrame, block: int) -> int:
-    if queries.limit(block + 1).count() <= block:
-        return 1
-    return -(-queries.count() // block) * 2  # hashed blocks are uneven; leave room
-
-
 # --- keyword side ---------------------------------------------------------------------
 def keyword_ilike(
     chunks: DataFrame, queries: DataFrame, k: int = vocab.RETRIEVAL_K, raw_pattern: bool = False,
-    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, chunk_id, document_id, score, rank): permitted chunks that contain the
     question, ignoring case; the first k by document and position.
 
+    Questions with the same words, keys and scope are searched for once. Chunks are found
+    by trigram postings; only the texts of candidates are compared.
     raw_pattern=True keeps % and _ of the question as wildcards.
     """
-    blocks = _block_count(queries, block)
     scope = F.col("scope_id") if "scope_id" in queries.columns else F.lit(None).cast("bigint")
-    asked = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-        F.struct("query_id", "keys", F.lower(F.trim("question")).alias("needle"), scope.alias("scope_id"))
-        .alias("q"),
-    ).groupBy("block").agg(F.collect_list("q").alias("asked"))
-    text = chunks.select("chunk_id", "document_id", "position", "readers", F.lower("content").alias("folded"))
-    if blocks == 1:
-        # one block of checked size: a single value that goes along with every task
-        met = text.withColumn("asked", asked.select("asked").scalar())
-    else:
-        parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        met = text.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = met.join(asked.withColumn(
-            "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["part", "block"])
-
-    def hit(q: Column) -> Column:
-        found = (
-            F.like(F.col("folded"), F.concat(F.lit("%"), q["needle"], F.lit("%"))) if raw_pattern
-            else F.contains(F.col("folded"), q["needle"])
-        )
-        in_scope = q["scope_id"].isNull() | (q["scope_id"] == F.col("document_id"))
-        return found & in_scope & F.arrays_overlap(q["keys"], F.col("readers"))
-
-    hits = met.select(
-        "chunk_id", "document_id", "position",
-        F.explode(F.transform(F.filter("asked", hit), lambda q: q["query_id"])).alias("query_id"))
-    return top_per(hits, ["query_id"], ["document_id", "position"], k).select(
+    asked = queries.filter(F.col("question").isNotNull()).select(
+        "query_id", F.array_sort("keys").alias("keys"), F.lower(F.trim("question")).alias("needle"), scope.alias("scope_id")
+    ).withColumn("needle_id", F.sha2("needle", 256)).withColumn(
+        "ask", F.sha2(F.concat_ws("\n", "needle_id", F.array_join("keys", "\n"), F.lit(""), F.col("scope_id").cast("string")), 256))
+    needles = asked.groupBy("needle_id").agg(F.first("needle").alias("needle"))
+    folded = F.lower("content")
+    met = candidates(
+        chunks.filter(F.col("content").isNotNull()).select(F.col("chunk_id").alias("text_id"), folded.alias("text")),
+        needles.select("needle_id", F.col("needle").alias("text")), raw_pattern)
+    needle = F.concat(F.lit("%"), F.col("needle"), F.lit("%"))
+    found = F.like(folded, needle) if raw_pattern else F.contains(folded, F.col("needle"))
+    hits = met.withColumnRenamed("text_id", "chunk_id").join(
+        chunks.select("chunk_id", "document_id", "position", "readers", "content"), "chunk_id"
+    ).join(needles, "needle_id").filter(found).select("needle_id", "chunk_id", "document_id", "position", "readers")
+    # the same question by many users of equal rights is one ask
+    asks = asked.groupBy("ask").agg(*[F.first(c).alias(c) for c in ("needle_id", "keys", "scope_id")])
+    in_scope = F.col("scope_id").isNull() | (F.col("scope_id") == F.col("document_id"))
+    allowed = hits.join(asks, "needle_id").filter(in_scope & F.arrays_overlap("keys", "readers"))
+    first = top_per(allowed.select("ask", "chunk_id", "document_id", "position"), ["ask"], ["document_id", "position"], k)
+    return first.join(asked.select("ask", "query_id"), "ask").select(
         "query_id", "chunk_id", "document_id", F.lit(KEYWORD_SCORE).alias("score"), "rank")
 
 
 # --- semantic side ----------------------------------------------------------------------
-class _Questions:
-    """A block of questions as arrays, able to rank batches of chunks."""
-
-    def __init__(self, frame: pd.DataFrame, k: int):
-        self.ids = frame["query_id"].to_numpy()
-        matrix = np.array(frame["vector"].tolist(), dtype=np.float64).reshape(len(frame), -1)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        self.unit = matrix / np.where(norms == 0, 1.0, norms)
-        codes = {key: i for i, key in enumerate(sorted({x for keys in frame["keys"] for x in keys}))}
-        self.holds = np.zeros((len(frame), len(codes)), dtype=np.float32)
-        for row, keys in enumerate(frame["keys"]):
-            self.holds[row, [codes[x] for x in keys]] = 1.0
-        self.codes = codes
-        scope = frame["scope_id"] if "scope_id" in frame else pd.Series([None] * len(frame))
-        self.scoped = scope.notna().to_numpy()
-        self.scope = np.array([-1 if pd.isna(s) else s for s in scope], dtype=np.int64)
-        self.k = k
-
-    def rank(self, chunk_ids, document_ids, readers: list, vectors: np.ndarray) -> pd.DataFrame:
-        """Best k permitted chunks per question of one batch."""
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = vectors / np.where(norms == 0, 1.0, norms)
-        opens = np.zeros((len(readers), len(self.codes)), dtype=np.float32)
-        for row, keys in enumerate(readers):
-            opens[row, [self.codes[x] for x in keys if x in self.codes]] = 1.0
-        found = []
-        step = max(1, SCORE_CELLS // max(1, len(chunk_ids)))
-        for start in range(0, len(self.ids), step):
-            part = slice(start, start + step)
-            scores = np.round(self.unit[part] @ unit.T, 9)
-            allowed = (self.holds[part] @ opens.T) > 0
-            allowed &= ~self.scoped[part, None] | (self.scope[part, None] == document_ids[None, :])
-            scores = np.where(allowed, scores, -np.inf)
-            if scores.shape[1] > self.k:
-                # everything at least as good as the k-th score: ties are settled below
-                floor = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-                allowed &= scores >= floor
-            q, c = np.nonzero(allowed)
-            found.append(pd.DataFrame({
-                "query_id": self.ids[part][q], "chunk_id": chunk_ids[c],
-                "document_id": document_ids[c], "cosine": scores[q, c]}))
-        return self.best(pd.concat(found))
-
-    def best(self, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True])
-        return ordered.groupby("query_id", sort=False).head(self.k)
-
-
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
-
-
-def semantic_topk(
-    queries: DataFrame, index: DataFrame, k: int = vocab.RETRIEVAL_K, block: int = QUERY_BLOCK
-) -> DataFrame:
-    """(query_id, chunk_id, document_id, score, rank): the k nearest permitted chunks by cosine.
-
-    Up to `block` questions are sent to every task (their number is checked first).
-    More are hashed into blocks and meet hashed parts of the index cell by cell, so
-    neither side has to fit anywhere as a whole. Both ways are exact.
-    """
+def _ranker(k: int):
+    """Best k permitted chunks of a batch for each question of a batch."""
+    def rank(questions: pa.RecordBatch, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        asked, scored = unit_rows(questions["vector"]), unit_rows(rows["vector"])
+        readers, keys = rows["readers"], questions["keys"]
+        codes = pc.unique(keys.flatten())  # only keys that somebody asks with
+        holds, opens = (_matrix_of_keys(lists, codes) for lists in (keys, readers))
+        scores = np.round(asked @ scored.T, 9)
+        allowed = (holds @ opens.T) > 0
+        if "scope_id" in questions.schema.names:
+            scope = questions["scope_id"]
+            anywhere = scope.is_null().to_numpy(zero_copy_only=False)[:, None]
+            wanted = scope.fill_null(-1).to_numpy(zero_copy_only=False)[:, None]
+            allowed &= anywhere | (wanted == rows["document_id"].to_numpy(zero_copy_only=False)[None, :])
+        scores = np.where(allowed, scores, -np.inf)
+        if scores.shape[1] > k:  # everything at least as good as the k-th score: ties are settled later
+            allowed &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1: k]
+        q, c = np.nonzero(allowed)
+        yield pa.RecordBatch.from_arrays(
+            [questions["query_id"].take(pa.array(q)), rows["chunk_id"].take(pa.array(c)),
+             rows["document_id"].take(pa.array(c)), pa.array(scores[q, c])],
+            names=["query_id", "chunk_id", "document_id", "cosine"])
+
+    return rank
+
+
+def _matrix_of_keys(lists: pa.ListArray, codes: pa.Array) -> np.ndarray:
+    """One row per list, one column per code."""
+    out = np.zeros((len(lists), len(codes)), np.float32)
+    at = pc.index_in(lists.flatten(), codes)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    out[row[known], at.drop_null().to_numpy()] = 1.0
+    return out
+
+
+def semantic_index(rows: DataFrame, pivots: int = PIVOTS) -> VectorIndex:
+    """Chunks (chunk_id, document_id, readers, vector) as an index that can grow (`append`)."""
+    return VectorIndex.build(rows.select("chunk_id", "document_id", "readers", "vector"), pivots)
+
+
+def semantic_search(queries: DataFrame, index: VectorIndex, k: int = vocab.RETRIEVAL_K) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chunk_id, document_id, score, rank) of the k nearest permitted chunks by cosine, exactly;
+    and (query_id, cells_read, cells): how much of the index each question needed."""
     fields = [c for c in ("query_id", "vector", "keys", "scope_id") if c in queries.columns]
-    asked = queries.filter(F.size("vector") > 0).select(*fields)
-    rows = index.filter(F.size("vector") > 0).select("chunk_id", "document_id", "readers", "vector")
-    id_type = dict(asked.dtypes)["query_id"]
-    chunk_type = dict(rows.dtypes)["chunk_id"]
-    schema = f"query_id {id_type}, chunk_id {chunk_type}, document_id bigint, cosine double"
-    blocks = _block_count(asked, block)
-    if blocks == 1:
-        questions = _Questions(asked.toPandas(), k)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
-            for batch in batches:
-                if batch.num_rows == 0 or len(questions.ids) == 0:
-                    continue
-                ranked = questions.rank(
-                    batch["chunk_id"].to_numpy(zero_copy_only=False),
-                    batch["document_id"].to_numpy(zero_copy_only=False),
-                    batch["readers"].to_pylist(), _matrix(batch["vector"]))
-                best = ranked if best is None else questions.best(pd.concat([best, ranked]))
-            if best is not None and len(best):
-                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-        near = rows.mapInArrow(scan, schema)
-    else:
-        parts = -(-rows.count() // CELL_ROWS)
-        cells = ["part", "block"]
-
-        def spread(name: str, n: int) -> Column:
-            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-
-        left = rows.select("*", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part"), spread("block", blocks))
-        right = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), spread("part", parts))
-
-        def cell(chunk_rows: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-            if chunk_rows.empty or questions.empty:
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "document_id": [], "cosine": []})
-            return _Questions(questions, k).rank(
-                chunk_rows["chunk_id"].to_numpy(), chunk_rows["document_id"].to_numpy(),
-                chunk_rows["readers"].tolist(), np.array(chunk_rows["vector"].tolist(), dtype=np.float64))
-
-        near = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(cell, schema)
+    asked = settle(queries.filter(F.size("vector") > 0).select(*fields))
+    types = {f.name: f.dataType.simpleString() for f in index.schema}
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {types['chunk_id']}, document_id {types['document_id']}, cosine double"
     order = [F.desc("cosine"), "chunk_id"]
-    return top_per(near, ["query_id"], order, k).select(
-        "query_id", "chunk_id", "document_id", F.greatest(F.lit(0.0), "cosine").alias("score"), "rank")
+
+    def kth(found: DataFrame) -> DataFrame:
+        return top_per(found, ["query_id"], order, k).filter(F.col("rank") == k).select("query_id", F.col("cosine").alias("beat"))
+
+    found, read = search(asked, index, ["chunk_id", "document_id", "readers"], schema, _ranker(k), kth)
+    return top_per(found, ["query_id"], order, k).select(
+        "query_id", "chunk_id", "document_id", F.greatest(F.lit(0.0), "cosine").alias("score"), "rank"), read
+
+
+def semantic_topk(queries: DataFrame, rows: DataFrame, k: int = vocab.RETRIEVAL_K, pivots: int = PIVOTS) -> DataFrame:
+    """The k nearest permitted chunks by cosine, through an index made of `rows`."""
+    return semantic_search(queries, semantic_index(rows, pivots), k)[0]
 
 
 # --- merge and rerank -----------------------------------------------------------------------

@@ -58,6 +58,27 @@ def test_rows_follow_the_greedy_rule(spark):
     assert got == want
 
 
+def test_pages_are_cut_where_no_row_reaches(spark):
+    rows = [(1, i, 1, 0.0, 14.0 * (i // 4) + (200 if i > 60 else 0), 9.0, 14.0 * (i // 4) + (200 if i > 60 else 0) + (10 if i % 4 else 6), "w", 1.0, "s")
+            for i in range(120)]
+    lines = op._lines(spark.createDataFrame(rows, WORD), 0.6)
+    assert lines.select("island").distinct().count() > 20 and lines.count() < 120
+    got = {r.word_idx: r.row_id for r in op.visual_rows(spark.createDataFrame(rows, WORD)).collect()}
+    assert got == greedy_rows(rows)
+
+
+def greedy_rows(rows):
+    want, groups = {}, {}
+    for r in sorted(rows, key=lambda r: (r[0], r[2], (r[4] + r[6]) / 2, r[1])):
+        mine = groups.setdefault((r[0], r[2]), [])
+        cy, h = (r[4] + r[6]) / 2, max(1.0, r[6] - r[4])
+        n = next((n for n, (cy0, h0) in enumerate(mine) if abs(cy - cy0) <= 0.6 * max(h0, h)), len(mine))
+        if n == len(mine):
+            mine.append((cy, h))
+        want[r[1]] = n
+    return want
+
+
 def test_best_value_matches_all_pairs(spark):
     rng = random.Random(9)
     rows = [(1, i, 1, x := rng.uniform(0, 900), y := rng.uniform(0, 900), x + rng.uniform(5, 300), y + rng.uniform(0, 20), f"t{i}", 1.0, "s")

@@ -61,9 +61,67 @@ def test_both_ways_agree_with_brute_force(spark):
     asked = op.with_keys(f["queries"], f["users"], f["roles"])
     open_chunks = op.permitted_chunks(f["chunks"], asked, f["docs"], f["grants"])
     index = op.chunks_with_embedding(open_chunks, f["vectors"])
-    for block in (2048, 5):
-        assert ranked(op.semantic_topk(asked, index, block=block)) == {q: v for q, v in semantic.items() if v}
-        assert ranked(op.keyword_ilike(open_chunks, asked, block=block)) == {q: v for q, v in keyword.items() if v}
+    want = {q: v for q, v in semantic.items() if v}
+    for pivots in (64, 5, 1):
+        assert ranked(op.semantic_topk(asked, index, pivots=pivots)) == want
+    assert ranked(op.keyword_ilike(open_chunks, asked)) == {q: v for q, v in keyword.items() if v}
+    # the same index grown in three appends
+    parts = [index.filter(F.col("chunk_id") % 3 == i) for i in range(3)]
+    grown = op.semantic_index(parts[0], 9)
+    for part in parts[1:]:
+        grown.append(part.select(*grown.schema.names))
+    found, read = op.semantic_search(asked, grown)
+    assert ranked(found) == want
+    assert all(0 < r.cells_read <= r.cells <= 9 for r in read.collect()) and read.count() == asked.count()
+
+
+def test_index_reads_only_cells_that_can_matter(spark):
+    rng = random.Random(4)
+    centres = [[10.0 if k == i else 0.0 for k in range(6)] for i in range(6)]
+    rows = [(i, i, ["public"], [c + rng.gauss(0, 0.3) for c in centres[i % 6]]) for i in range(600)]
+    index = op.semantic_index(spark.createDataFrame(rows, "chunk_id long, document_id long, readers array<string>, vector array<double>"), 12)
+    asked = spark.createDataFrame([(i, centres[i], ["public"]) for i in range(6)], "query_id long, vector array<double>, keys array<string>")
+    found, read = op.semantic_search(asked, index, 5)
+
+    def cosine(a, b):
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+
+    assert ranked(found) == {i: [r[0] for r in sorted(rows, key=lambda r: (-cosine(centres[i], r[3]), r[0]))[:5]] for i in range(6)}
+    got = read.collect()
+    assert sum(r.cells_read for r in got) < 0.7 * sum(r.cells for r in got)
+
+
+def test_no_rows_no_questions(spark):
+    index = op.semantic_index(spark.createDataFrame([], "chunk_id long, document_id long, readers array<string>, vector array<double>"))
+    asked = spark.createDataFrame([(1, [1.0], ["public"])], "query_id long, vector array<double>, keys array<string>")
+    assert op.semantic_search(asked, index)[0].collect() == []
+    one = op.semantic_index(spark.createDataFrame([(1, 1, ["public"], [1.0])], "chunk_id long, document_id long, readers array<string>, vector array<double>"))
+    assert op.semantic_search(asked.filter("false"), one)[0].collect() == []
+    assert [r.chunk_id for r in op.semantic_search(asked, one)[0].collect()] == [1]
+
+
+def test_short_repeated_and_empty_needles(spark):
+    texts = ["Alpha BETA", "b", "", None, "ab ab ab", "日本 x", "a_b%c", "beta"]
+    rows = [(i, i, 0, ["public"] if i != 7 else ["user:9"], t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, position int, readers array<string>, content string")
+    needles = ["b", "ab", "beta", " BETA ", "", "日本", "zzz", "a_b", "%", None, "alpha beta"]
+    for raw in (False, True):
+        asked = spark.createDataFrame([(q, t, ["public"]) for q, t in enumerate(needles)], "query_id long, question string, keys array<string>")
+        got = ranked(op.keyword_ilike(chunks, asked, 3, raw_pattern=raw))
+        want = {}
+        for q, t in enumerate(needles):
+            if t is None:
+                continue
+            n = t.strip().lower()
+            if raw:
+                import re
+                fits = re.compile(".*" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in n) + ".*", re.S)
+                hits = [i for i, x in enumerate(texts[:7]) if x is not None and fits.fullmatch(x.lower())]
+            else:
+                hits = [i for i, x in enumerate(texts[:7]) if x is not None and n in x.lower()]
+            if hits:
+                want[q] = hits[:3]
+        assert got == want
 
 
 def test_wildcards_only_on_request(spark):
