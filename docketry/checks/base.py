@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.session import UNION_PARTITIONING
+from docketry.session import UNION_PARTITIONING, settle
 from docketry.sources.bindings import bind, binding_sql
 from docketry.sources.tables import read_table, spread
 
@@ -21,8 +21,15 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.stored: dict[str, DataFrame] = {}
         spark.conf.set(*UNION_PARTITIONING)
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several steps of one query read, written once."""
+        if name not in self.stored:
+            self.stored[name] = settle(make())
+        return self.stored[name]
+
     def table(self, name: str) -> DataFrame:
         df = read_table(self.spark, self.folder, name)
         return spread(df, "doc_id") if name == "documents" else df

@@ -11,7 +11,6 @@ from docketry.functions import values
 from docketry.operators import retrieval as op
 from docketry.operators.similarity import dedupe_similar_chunks
 from docketry.plans import answers
-from docketry.session import settle
 
 common("chunk_ids", "select *, document_id * 100000 + position as chunk_id from chunks")
 common("semantic", """
@@ -67,17 +66,24 @@ def chunks(d: Data):
     return text_chunks(d).withColumn("chunk_id", ids)
 
 
+def chunk_table(d: Data):
+    """The chunks as a table that was written when the documents came in."""
+    return d.once("chunks", lambda: chunks(d))
+
+
 def asked(d: Data):
-    return op.with_keys(queries(d), d.users, d.user_roles)
+    return d.once("asked", lambda: op.with_keys(queries(d), d.users, d.user_roles))
 
 
-def open_chunks(d: Data, questions=None):
-    return settle(op.permitted_chunks(chunks(d), questions or asked(d), d.docs, d.grants))
+def open_chunks(d: Data):
+    return op.permitted_chunks(chunk_table(d), asked(d), d.docs, d.grants)
 
 
 def semantic(d: Data, **kw):
-    index = op.chunks_with_embedding(open_chunks(d).drop("content", "page"), d.vectors)
-    return op.semantic_topk(asked(d), index, **kw)
+    places = op.permitted_chunks(
+        chunks(d).drop("content", "page") if "chunks" not in d.stored else chunk_table(d).drop("content", "page"),
+        asked(d), d.docs, d.grants)
+    return op.semantic_topk(asked(d), op.chunks_with_embedding(places, d.vectors), **kw)
 
 
 def keyword(d: Data, **kw):
@@ -85,11 +91,12 @@ def keyword(d: Data, **kw):
 
 
 def hybrid(d: Data):
-    return op.hybrid_topk(semantic(d), keyword(d))
+    words = keyword(d)
+    return op.hybrid_topk(semantic(d), words)
 
 
 def with_text(d: Data, rows):
-    texts = chunks(d).select("chunk_id", "page", "content")
+    texts = chunk_table(d).select("chunk_id", "page", "content")
     return op.chunks_with_document(rows.join(texts, "chunk_id"), d.docs)
 
 
@@ -155,7 +162,8 @@ def _(d: Data):
 
 @query("hybrid_union", "select question_id, chunk_id, round(cast(score as double), 6) as score from merged")
 def _(d: Data):
-    return shown(op.hybrid_union(semantic(d), keyword(d)), "chunk_id", score())
+    words = keyword(d)
+    return shown(op.hybrid_union(semantic(d), words), "chunk_id", score())
 
 
 @query("hybrid_topk", "select question_id, chunk_id, round(score, 6) as score, rank from hybrid")
@@ -167,7 +175,7 @@ def _(d: Data):
 select h.question_id, h.chunk_id, d.title, c.page, md5(c.content) as digest, round(h.score, 6) as score, h.rank
 from hybrid h join chunk_ids c on c.chunk_id = h.chunk_id join docs d on d.document_id = h.document_id""")
 def _(d: Data):
-    found = answers.retrieve(queries(d), chunks(d), d.vectors, d.docs, d.users, d.user_roles, d.grants)
+    found = answers.retrieve(queries(d), chunk_table(d), d.vectors, d.docs, d.users, d.user_roles, d.grants)
     return shown(found, "chunk_id", "title", "page", F.md5("content").alias("digest"), score(), "rank")
 
 

@@ -1,23 +1,27 @@
-"""Substring search of many needles in many texts, by trigram postings.
+"""Substring search of many needles in many texts, by postings of character grams.
 
-A needle is looked up by its rarest trigrams. Texts give one posting (gram, text) for each of
-these that they hold, and no other; a text that has all of a needle's grams is a candidate and
-is compared. Needles shorter than three characters are looked up whole. How rare a gram is
-comes from a bounded sample of the texts: it decides the work, never the result.
+A needle is looked up by its rarest grams of eight characters, a shorter one by its trigrams, one
+shorter than three characters whole. Texts give one posting (gram, text) for each of these that
+they hold, and no other; a text that has all of a needle's grams is a candidate and is
+compared. How rare a gram is comes from a bounded sample of the texts: it decides the work,
+never the result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.grams import TABLE, U64, from_texts, grams, points, rare_first, slot
 
-GRAMS = 3  # looked up per needle
-SAMPLE_ROWS = 2000  # texts from which the rarity of grams is estimated
+GRAMS = 2  # looked up per needle
+LONG, SHORT = 8, 3  # characters of a gram
+SAMPLE_ROWS = 500  # texts from which the rarity of grams is estimated
 EMPTY = 1  # the posting of every text, for needles that fit all
 
 
@@ -29,24 +33,26 @@ def literal_runs(needle: str, wildcards: bool) -> list[str]:
 def _keys(needle: str, counts: np.ndarray, wildcards: bool) -> np.ndarray:
     """The grams a needle is looked up by."""
     runs = [points(r) for r in literal_runs(needle, wildcards)]
-    long = [grams(r, 3) for r in runs if len(r) >= 3]
-    if long:
-        return rare_first(np.unique(np.concatenate(long)), counts)[:GRAMS]
+    for q in (LONG, SHORT):
+        some = [grams(r, q) for r in runs if len(r) >= q]
+        if some:
+            return rare_first(np.unique(np.concatenate(some)), counts)[:GRAMS]
     whole = [grams(r, len(r)) for r in runs if len(r)]
     return np.unique(np.concatenate(whole)) if whole else np.array([EMPTY], U64)
 
 
 def sampled_counts(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """How often the trigrams of each slot stand in at most `sample_rows` texts."""
-    def slots(text: str) -> dict:
-        at, c = np.unique(slot(grams(points(text), 3)), return_counts=True)
-        return {"slot": at, "c": c.astype(np.int64)}
+    """How often the grams of each slot stand in at most `sample_rows` texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(TABLE, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = points(text)
+                seen += np.bincount(slot(np.concatenate([grams(own, LONG), grams(own, SHORT)])), minlength=TABLE)
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()])], names=["seen"])
 
-    made = from_texts(texts.select("text").limit(sample_rows), "slot long, c long", slots).groupBy("slot").agg(
-        F.sum("c").alias("c")).toArrow()
-    out = np.zeros(TABLE, np.int64)
-    out[made["slot"].to_numpy()] = made["c"].to_numpy()
-    return out
+    made = texts.select("text").limit(sample_rows).mapInArrow(run, "seen binary").toArrow()["seen"]
+    return sum((np.frombuffer(x, np.int64) for x in made.to_pylist()), np.zeros(TABLE, np.int64))
 
 
 def candidates(texts: DataFrame, needles: DataFrame, wildcards: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -66,21 +72,22 @@ def candidates(texts: DataFrame, needles: DataFrame, wildcards: bool = False, sa
 
     def marks(text: str) -> dict:
         h = _keys(text, counts, wildcards)
-        runs = [len(r) for r in literal_runs(text, wildcards)]
-        sizes = np.full(len(h), 0 if not any(runs) else 3 if max(runs) >= 3 else -1)
-        return {"slot": slot(h), "q": sizes}
+        longest = max(map(len, literal_runs(text, wildcards)), default=0)
+        # the size of the grams, -1 for whole short runs, 0 for none
+        size = LONG if longest >= LONG else SHORT if longest >= SHORT else -1 if longest else 0
+        return {"slot": slot(h), "q": np.full(len(h), size)}
 
     # which slots anybody looks for, and gram sizes: a table of fixed size
     found = from_texts(needles.select("text"), "slot long, q long", marks).distinct().toArrow()
     wanted = np.zeros(TABLE, bool)
     wanted[found["slot"].to_numpy()] = True
     kinds = set(found["q"].to_pylist())
-    sizes = [1, 2, 3] if -1 in kinds else [3]
+    sizes = [q for q in (LONG, SHORT) if q in kinds] + ([1, 2] if -1 in kinds else [])
 
     def postings(text: str) -> dict:
         own = points(text)
-        h = np.unique(np.concatenate([grams(own, q) for q in sizes]))
-        h = h[wanted[slot(h)]]
+        h = np.concatenate([np.zeros(0, U64), *(grams(own, q) for q in sizes)])
+        h = np.unique(h[wanted[slot(h)]])
         return {"gram": (np.append(h, U64(EMPTY)) if 0 in kinds else h).view(np.int64)}
 
     text_kind = dict(texts.dtypes)["text_id"]

@@ -24,7 +24,7 @@ from docketry.functions.text import has_content, keyword_overlap
 from docketry.operators.access import WIDE_KEYS, audience, live_documents, principals, wide_keys
 from docketry.operators.common import top_per
 from docketry.operators.postings import candidates
-from docketry.operators.vector_index import PIVOTS, VectorIndex, search, unit_rows
+from docketry.operators.vector_index import VectorIndex, search, unit_rows
 from docketry.session import settle
 
 KEYWORD_SCORE = 0.5
@@ -60,8 +60,8 @@ def permitted_chunks(chunks: DataFrame, queries: DataFrame, docs: DataFrame, gra
     held = queries.agg(*[F.coalesce(F.max(F.array_contains("keys", k)), F.lit(False)).alias(k) for k in WIDE_KEYS]).first()
     wide = F.filter(wide_keys(), lambda k: k.isin(*[k_ for k_ in WIDE_KEYS if held[k_]]))
     none = F.array().cast("array<string>")
-    readers = live_documents(docs).select("document_id", wide.alias("wide")).join(named, "document_id", "left").select(
-        "document_id", F.concat("wide", F.coalesce("named", none)).alias("readers")).filter(F.size("readers") > 0)
+    readers = settle(live_documents(docs).select("document_id", wide.alias("wide")).join(named, "document_id", "left").select(
+        "document_id", F.concat("wide", F.coalesce("named", none)).alias("readers")).filter(F.size("readers") > 0))
     return chunks.join(readers, "document_id")
 
 
@@ -137,7 +137,7 @@ def _matrix_of_keys(lists: pa.ListArray, codes: pa.Array) -> np.ndarray:
     return out
 
 
-def semantic_index(rows: DataFrame, pivots: int = PIVOTS) -> VectorIndex:
+def semantic_index(rows: DataFrame, pivots: int | None = None) -> VectorIndex:
     """Chunks (chunk_id, document_id, readers, vector) as an index that can grow (`append`)."""
     return VectorIndex.build(rows.select("chunk_id", "document_id", "readers", "vector"), pivots)
 
@@ -159,9 +159,9 @@ def semantic_search(queries: DataFrame, index: VectorIndex, k: int = vocab.RETRI
         "query_id", "chunk_id", "document_id", F.greatest(F.lit(0.0), "cosine").alias("score"), "rank"), read
 
 
-def semantic_topk(queries: DataFrame, rows: DataFrame, k: int = vocab.RETRIEVAL_K, pivots: int = PIVOTS) -> DataFrame:
+def semantic_topk(queries: DataFrame, rows: DataFrame, k: int = vocab.RETRIEVAL_K, pivots: int | None = None) -> DataFrame:
     """The k nearest permitted chunks by cosine, through an index made of `rows`."""
-    return semantic_search(queries, semantic_index(rows, pivots), k)[0]
+    return semantic_search(queries, semantic_index(settle(rows.select("chunk_id", "document_id", "readers", "vector")), pivots), k)[0]
 
 
 # --- merge and rerank -----------------------------------------------------------------------

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from docketry.session import settle, shared_folder
 
-PIVOTS = 64
+PIVOTS = 256  # at most
+CELL_ROWS = 4096  # a smaller index has fewer pivots, so that a cell is worth reading apart
 ROWS_AT_ONCE = 4096  # index rows that meet a batch of questions
 QUESTIONS_AT_ONCE = 2048
 SLACK = 1e-7  # for rounding in angles and scores
@@ -51,14 +52,16 @@ class VectorIndex:
     pivots: np.ndarray
 
     @classmethod
-    def build(cls, rows: DataFrame, pivots: int = PIVOTS, folder: str | None = None) -> VectorIndex:
+    def build(cls, rows: DataFrame, pivots: int | None = None, folder: str | None = None) -> VectorIndex:
         """Write `rows` as an index below `folder`; rows with an empty or NULL vector are left out.
 
-        Pivots are at most `pivots` rows, taken in the order of a hash of the vector.
+        Pivots are at most `pivots` rows, taken in the order of a hash of the vector; without
+        a number there is one for every CELL_ROWS rows, up to PIVOTS.
         """
         spark = rows.sparkSession
         folder = folder or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         rows = rows.filter(F.size("vector") > 0)
+        pivots = pivots or min(PIVOTS, 1 + rows.count() // CELL_ROWS)
         sample = rows.select("vector").orderBy(F.xxhash64("vector")).limit(pivots).toArrow()["vector"]
         index = cls(folder, rows.schema, unit_rows(sample) if len(sample) else np.zeros((0, 0)))
         index.append(rows)
@@ -84,8 +87,9 @@ class VectorIndex:
         part = f"{self.folder}/rows/part={uuid.uuid4().hex}"
         placed.hint("rebalance", "cell").sortWithinPartitions("cell").write.partitionBy("cell").parquet(part)
         spark = rows.sparkSession
-        spark.read.schema(f"{fields}, angle double, cell int").parquet(part).groupBy("cell").agg(
-            F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("append").parquet(f"{self.folder}/radii")
+        found = spark.read.schema(f"{fields}, angle double, cell int").parquet(part).groupBy("cell").agg(
+            F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).toArrow()  # a row per pivot at most
+        spark.createDataFrame(found).coalesce(1).write.mode("append").parquet(f"{self.folder}/radii")
 
     def rows(self, spark: SparkSession) -> DataFrame:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
@@ -134,35 +138,42 @@ def _scan(spark: SparkSession, index: VectorIndex, wanted: DataFrame, columns: l
     index rows at a time.
     """
     folder = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
-    wanted.write.partitionBy("cell").parquet(folder)
+    wanted.hint("rebalance", "cell").write.partitionBy("cell").parquet(folder)
     needed = [r["cell"] for r in spark.read.schema(wanted.schema).parquet(folder).select("cell").distinct().collect()]
     if not needed:
         return spark.createDataFrame([], schema)
+    rows = index.rows(spark).filter(F.col("cell").isin(needed)).select(*columns, "vector", "cell")
+    return rows.mapInArrow(_meeting(lambda cell: f"{folder}/cell={cell}", ranker), schema)
+
 
+def _meeting(asked_in: Callable[[int], str | list[str]], ranker: Callable) -> Callable:
+    """A task's work: each cell's rows with the questions that lie in `asked_in(cell)`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        store, top = fs.FileSystem.from_uri(folder)
         for batch in batches:
             cell = batch["cell"].to_numpy()
             for c in np.unique(cell).tolist():
                 mine = batch.filter(pa.array(cell == c))
-                asked = ds.dataset(f"{top}/cell={c}", filesystem=store, format="parquet")
+                places = asked_in(c)
+                store = fs.FileSystem.from_uri(places if isinstance(places, str) else places[0])[0]
+                paths = [fs.FileSystem.from_uri(p)[1] for p in ([places] if isinstance(places, str) else places)]
+                asked = ds.dataset(paths if len(paths) > 1 else paths[0], filesystem=store, format="parquet")
                 for start in range(0, len(mine), ROWS_AT_ONCE):
                     rows = mine.slice(start, ROWS_AT_ONCE)
                     for questions in asked.to_batches(batch_size=QUESTIONS_AT_ONCE):
                         if len(questions):
                             yield from ranker(questions, rows)
 
-    rows = index.rows(spark).filter(F.col("cell").isin(needed)).select(*columns, "vector", "cell")
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def search(questions: DataFrame, index: VectorIndex, columns: list[str], schema: str, ranker: Callable,
            kth: Callable[[DataFrame], DataFrame], nearest: int = 2) -> tuple[DataFrame, DataFrame]:
     """(found, read): what the ranker finds in all cells that matter; (query_id, cells_read, cells).
 
+    `questions` is a table read from files (`settle`).
     `ranker(questions, rows)` yields record batches of `schema` for a batch of each; `kth(found)`
     gives (query_id, beat): the score that further rows must reach, for questions that have k.
     """
@@ -171,6 +182,12 @@ def search(questions: DataFrame, index: VectorIndex, columns: list[str], schema:
     if not radii:
         empty = questions.select("query_id", F.lit(0).cast("long").alias("cells_read"), F.lit(0).cast("long").alias("cells"))
         return spark.createDataFrame([], schema), empty
+    if nearest >= len(radii):  # all questions meet all rows, in batches
+        read = questions.select("query_id", *[F.lit(len(radii)).cast("long").alias(c) for c in ("cells_read", "cells")])
+        files = sorted(questions.inputFiles())
+        if not files:
+            return spark.createDataFrame([], schema), read
+        return index.rows(spark).select(*columns, "vector", "cell").mapInArrow(_meeting(lambda cell: files, ranker), schema), read
     near = _wanted(questions, index, radii, nearest, rest=False)
     first = settle(_scan(spark, index, near, columns, schema, ranker))
     left = questions.join(kth(first), "query_id", "left")
