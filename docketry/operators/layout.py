@@ -12,19 +12,23 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry import vocab
 from docketry.functions import geometry as geo
+from docketry.functions.grams import from_texts
 from docketry.functions.text import let, normalize_ws
 from docketry.functions.values import (
     candidate_confidence, normalize_label, normalize_registration, parse_day_first,
     relation_confidence, token_shape_flags,
 )
 from docketry.operators.common import top_per
+from docketry.operators.near_copies import Rule
 from docketry.operators.similarity import ratio
 from docketry.session import settle
 
@@ -127,6 +131,56 @@ def _anchor_rows(anchors: dict[str, list[str]]) -> list[tuple[str, str]]:
     return out
 
 
+_NO_SIGN = " :.-"  # left out of letter signs: they may be trimmed
+SPELLED_OUT = 24
+FEW_ANCHORS = 200  # up to so many, runs are sifted by the letters of each anchor first
+
+
+def _sign_of(text: str) -> int:
+    """The letters of a text as bits of a 63-bit number."""
+    out = 0
+    for c in text:
+        if c not in _NO_SIGN:
+            out |= 1 << (ord(c) % 63)
+    return out
+
+
+def _letters(text: Column) -> Column:
+    """`_sign_of` of a text column, 0 for NULL."""
+    bits = F.aggregate(F.split(F.translate(text, _NO_SIGN, ""), ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(
+        F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % 63).cast("int")))))
+    return F.coalesce(bits, F.lit(0).cast("long"))
+
+
+def _sifted(letters: Column, anchors: dict[str, list[str]], threshold: float) -> Column:
+    """Can a phrase with these letters be like an anchor or hold it? Every letter that only one of
+    two texts has is an edit, so a no is final."""
+    signs: dict[int, tuple[int, bool]] = {}
+    for _, text in _anchor_rows(anchors):
+        slack = max(3, len(text) // 4)
+        room = int((2 * len(text) + slack) * (1 - threshold) + 1e-9)
+        before = signs.get(_sign_of(text), (0, False))
+        signs[_sign_of(text)] = (max(room, before[0]), before[1] or " " in text)
+    found = F.lit(False)
+    if len(signs) <= SPELLED_OUT:
+        for sign, (room, several) in signs.items():
+            missing = F.bit_count(F.lit(sign).cast("long").bitwiseAND(F.bitwise_not(letters)))
+            extra = F.bit_count(letters.bitwiseAND(F.lit(~sign).cast("long")))
+            found = found | (missing <= F.when(F.lit(several), 0).otherwise(-1)) | (missing + extra <= room)
+        return found
+    # spelled out, a longer test would outgrow what the JVM compiles
+    listed = F.array(*[F.struct(
+        F.lit(sign).cast("long").alias("sign"), F.lit(room).alias("room"), F.lit(0 if several else -1).alias("free"))
+        for sign, (room, several) in signs.items()])
+
+    def near(a: Column) -> Column:
+        missing = F.bit_count(a["sign"].bitwiseAND(F.bitwise_not(letters)))
+        extra = F.bit_count(letters.bitwiseAND(F.bitwise_not(a["sign"])))
+        return (missing <= a["free"]) | (missing + extra <= a["room"])
+
+    return F.exists(listed, near)
+
+
 def _plausible(norm: Column, anchors: dict[str, list[str]], threshold: float) -> Column:
     """Can a normalized phrase reach the threshold for some anchor?
 
@@ -164,37 +218,83 @@ def _plausible(norm: Column, anchors: dict[str, list[str]], threshold: float) ->
                         F.size(F.split(norm, " ")).alias("words")), test)
 
 
+def _grams_of(text: str, q: int) -> list[tuple[str, int]]:
+    """Runs of q characters, equal ones numbered."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(text) - q + 1):
+        g = text[i: i + q]
+        seen[g] = nth = seen.get(g, 0) + 1
+        out.append((g, nth))
+    return out
+
+
+def _label_keys(text: str, counts: dict[tuple[str, int], int], rule: Rule, is_anchor: bool) -> set[int]:
+    """Keys at which a phrase meets every anchor it is like or holds.
+
+    Alike: the rarest of its grams, by number of words (`near_copies.Rule`). Held: an anchor of
+    several words brings the letters around its first gap, a phrase those around all of its gaps.
+    """
+    words = text.split(" ")
+    keys = set()
+    for q in rule.kinds(len(text)):
+        rare = sorted(_grams_of(text, q), key=lambda g: (counts.get(g, 0), g))
+        keys.update(xxhash.xxh64_intdigest(f"{len(words)} {q} {nth} {g}") for g, nth in rare[: rule.sized(len(text), q)])
+    for left, right in zip(words[:1] if is_anchor else words, words[1:]):
+        sizes = [(min(3, len(left)), min(3, len(right)))] if is_anchor else [
+            (i, j) for i in range(1, min(3, len(left)) + 1) for j in range(1, min(3, len(right)) + 1)]
+        keys.update(xxhash.xxh64_intdigest(f"{left[-i:]} {right[:j]}") for i, j in sizes if i and j)
+    return keys
+
+
 def _match_normalized(phrases: DataFrame, anchors: dict[str, list[str]], threshold: float) -> DataFrame:
-    """phrases(norm) -> distinct (norm, field, score) of those that are a label."""
-    rows = _anchor_rows(anchors)
-    exact: dict[str, str] = {}
-    for field, text in rows:
-        exact.setdefault(text, field)
-    sized = [(field, text, len(text.split()), len(text)) for field, text in rows]
-
-    @F.pandas_udf("struct<field:string,score:double>")
-    def match(texts: pd.Series) -> pd.DataFrame:
-        found = []
-        for text in texts:
-            if text in exact:
-                found.append((exact[text], 1.0))
-                continue
-            words, best = len(text.split()), (None, 0.0)
-            for field, anchor, n, size in sized:
-                if n >= 2 and anchor in text and words <= n + 1:
-                    score = 0.9
-                elif n != words or abs(len(text) - size) > max(3, size // 4):
-                    continue
-                else:
-                    score = ratio(text, anchor)
-                if score > best[1]:
-                    best = (field, score)
-            found.append(best if best[1] >= threshold else (None, best[1]))
-        return pd.DataFrame(found, columns=["field", "score"])
+    """phrases(norm) -> distinct (norm, field, score) of those that are a label.
 
-    distinct = phrases.select("norm").distinct()
-    return distinct.withColumn("m", match(F.col("norm"))).select("norm", "m.field", "m.score").filter(
-        "field is not null")
+    Distinct phrases and anchors meet on keys; only what meets is compared, so the anchors may
+    be many.
+    """
+    spark = phrases.sparkSession
+    rows = [(i, field, text) for i, (field, text) in enumerate(_anchor_rows(anchors))]
+    if not rows:
+        return spark.createDataFrame([], "norm string, field string, score double")
+    rule = Rule(threshold, 1 << 20)
+    counts: dict[tuple[str, int], int] = {}
+    for _, _, text in rows:
+        for q in rule.kinds(len(text)):
+            for g in _grams_of(text, q):
+                counts[g] = counts.get(g, 0) + 1
+
+    def keys(is_anchor: bool):
+        return lambda text: {"key": np.array(list(_label_keys(text, counts, rule, is_anchor)), np.uint64).view(np.int64)}
+
+    known = spark.createDataFrame(rows, "nth int, field string, text string")
+    # spread by number: few bytes of phrases are much work
+    distinct = phrases.filter("norm <> ''").select("norm").distinct().repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "norm").withColumn("text", F.col("norm"))
+    if len(rows) <= FEW_ANCHORS:  # a short constant list needs no keys
+        listed = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(f).alias("field"), F.lit(t).alias("text")) for i, f, t in rows])
+        pairs = distinct.select("norm", F.inline(listed))
+    else:
+        anchor_keys = from_texts(known.select("nth", "text"), "nth int, key long", keys(True))
+        met = from_texts(distinct, "norm string, key long", keys(False)).join(anchor_keys, "key").select("norm", "nth").distinct()
+        pairs = settle(met.join(known, "nth"))
+
+    @F.pandas_udf("double")
+    def alike(texts: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([ratio(a, b) for a, b in zip(texts, others)], dtype="float64")
+
+    words, own = F.size(F.split("norm", " ")), F.size(F.split("text", " "))
+    slack = F.greatest(F.lit(3), F.floor(F.length("text") / 4))
+    held = (own >= 2) & F.contains("norm", "text") & (words <= own + 1)
+    plain = F.when(F.col("norm") == F.col("text"), 1.0).when(held, 0.9)
+    # only what needs it is sent to be compared
+    room = F.floor((F.length("norm") + F.length("text")) * (1 - threshold) + 1e-9).cast("int")
+    close = pairs.filter(plain.isNull() & (words == own) & (F.abs(F.length("norm") - F.length("text")) <= slack)
+                         & (F.levenshtein("norm", "text") <= room))  # never above the Indel distance
+    scored = pairs.withColumn("score", plain).filter("score is not null").unionByName(
+        close.withColumn("score", alike(F.col("norm"), F.col("text"))))
+    return scored.filter(F.col("score") >= threshold).groupBy("norm").agg(
+        F.max(F.struct("score", (-F.col("nth")).alias("first"), "field")).alias("m")).select("norm", "m.field", "m.score")
 
 
 def match_label(phrases: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS,
@@ -205,8 +305,10 @@ def match_label(phrases: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHOR
     more: 0.9. As many words and about as long: Indel ratio. First best anchor wins.
     Only phrases close enough to an anchor are shuffled and compared.
     """
-    near = phrases.select("phrase", normalize_label(F.col("phrase")).alias("norm")).filter(
-        _plausible(F.col("norm"), anchors, threshold)).distinct()
+    near = phrases.select("phrase", normalize_label(F.col("phrase")).alias("norm"))
+    if len(_anchor_rows(anchors)) <= FEW_ANCHORS:
+        near = near.filter(_sifted(_letters(F.col("norm")), anchors, threshold) & _plausible(F.col("norm"), anchors, threshold))
+    near = settle(near.distinct())
     return near.join(_match_normalized(near, anchors, threshold), "norm").select("phrase", "field", "score")
 
 
@@ -221,7 +323,11 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     rows = geo.with_center(rows)
     along = Window.partitionBy("doc_id", "page", "row_id").orderBy("x0", "cy", "word_idx")
     bare = F.nullif(F.regexp_replace("text", _LABEL_NOISE, ""), F.lit(""))
-    own = F.struct("text", bare.alias("bare"), *BOX)
+    sift = len(_anchor_rows(anchors)) <= FEW_ANCHORS
+    # worked out once per word, below the shuffle
+    rows = rows.withColumn("bare", bare)
+    rows = rows.withColumn("sign", _letters(F.col("bare")) if sift else F.lit(0).cast("long"))
+    own = F.struct("text", "bare", "sign", *BOX)
     wide = rows.join(heights.withColumnRenamed("h", "median"), "doc_id").select(
         "doc_id", "page", "row_id", F.row_number().over(along).alias("pos"),
         F.greatest(F.lit(20.0), 2.5 * F.col("median")).alias("gap"), own.alias("w0"),
@@ -231,22 +337,27 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     def phrase(part: list[Column]) -> Column:
         return F.btrim(F.concat_ws(" ", *[m["bare"] for m in part]), F.lit(" :.-"))
 
-    spans, joined = [], F.lit(True)
+    threshold = vocab.LABEL_THRESHOLD
+    spans, joined, letters = [], F.lit(True), F.lit(0).cast("long")
     for n in range(1, max_span + 1):
         if n > 1:
             before, last = members[n - 2], members[n - 1]
             joined = joined & last.isNotNull() & (last["x0"] - before["x1"] <= F.col("gap"))
-        part = members[:n]
-        spans.append(F.when(joined, F.struct(
-            F.lit(n).alias("span"),
-            phrase(part).alias("lr_norm"),
-            (phrase(part[::-1]) if n > 1 else F.lit("")).alias("rl_norm"))))
-    runs = wide.withColumn("s", F.explode(F.array_compact(F.array(*spans)))).select(
-        "doc_id", "page", "row_id", "pos", *[f"w{k}" for k in range(max_span)], "s.*")
-    threshold = vocab.LABEL_THRESHOLD
-    # few runs are left; they are read three times below
-    runs = settle(runs.filter(_plausible(F.col("lr_norm"), anchors, threshold)
-                              | _plausible(F.col("rl_norm"), anchors, threshold)))
+        letters = letters.bitwiseOR(F.coalesce(members[n - 1]["sign"], F.lit(0).cast("long")))
+        spans.append(F.struct(F.when(joined, n).alias("span"), letters.alias("letters")))
+    runs = wide.withColumn("s", F.explode(F.array(*spans))).select(
+        "doc_id", "page", "row_id", "pos", *[f"w{k}" for k in range(max_span)], "s.*").filter("span is not null")
+    if sift:
+        runs = runs.filter(_sifted(F.col("letters"), anchors, threshold))
+
+    def read_as(order) -> Column:
+        return F.coalesce(*[F.when(F.col("span") == n, phrase(order(members[:n]))) for n in range(1, max_span + 1)])
+
+    runs = runs.withColumns({
+        "lr_norm": read_as(list), "rl_norm": F.when(F.col("span") > 1, read_as(lambda part: part[::-1])).otherwise("")})
+    if sift:
+        runs = runs.filter(_plausible(F.col("lr_norm"), anchors, threshold) | _plausible(F.col("rl_norm"), anchors, threshold))
+    runs = settle(runs)  # few are left; they are read three times below
     matches = _match_normalized(
         runs.select(F.explode(F.array("lr_norm", "rl_norm")).alias("norm")), anchors, threshold)
 

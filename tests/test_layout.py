@@ -173,3 +173,48 @@ def test_runs_may_hold_words_that_normalize_to_nothing(spark):
     w = words(spark, [("aa", 0, 0, 1), ('"', 25, 0, 1), ("bb", 40, 0, 1), ("cc", 65, 0, 1)])
     hits = op.label_hits(op.visual_rows(w), {"pair": ["aa bb"]}).collect()
     assert sorted(h.span for h in hits) == [3, 4]
+
+
+def test_phrases_meet_every_anchor_they_are_like(spark):
+    """The key join against all pairs, with so many anchors that nothing is sifted before it."""
+    from docketry.operators.similarity import ratio
+
+    rng = random.Random(12)
+    pool = ["plate", "mark", "of", "the", "holder", "policy", "no", "number", "a", "id", "date", "end", "starts", "on", "מספר", "רכב"]
+    anchors = {f"f{i}": [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 4)))] for i in range(260)}
+    rows = op._anchor_rows(anchors)
+    phrases = set()
+    for _ in range(700):
+        text = list(rng.choice(rows)[1] if rng.random() < 0.8 else " ".join(rng.choice(pool) for _ in range(3)))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(text) + 1)
+            if rng.random() < 0.5:
+                text.insert(at, rng.choice("abemx "))
+            elif at < len(text) > 1:
+                del text[at]
+        phrases.add(" ".join("".join(text).split()))
+    phrases |= {"xx plate mark", "late marks", "plate mark x y", "x"}
+    want = {}
+    for p in phrases:
+        best = (None, 0.0)
+        for field, text in rows:
+            n, m = len(p.split(" ")), len(text.split(" "))
+            score = 1.0 if p == text else 0.9 if m >= 2 and text in p and n <= m + 1 else 0.0 if (
+                n != m or abs(len(p) - len(text)) > max(3, len(text) // 4)) else ratio(p, text)
+            if score > best[1]:
+                best = (field, score)
+        if p and best[1] >= op.vocab.LABEL_THRESHOLD:
+            want[p] = (best[0], round(best[1], 9))
+    df = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    assert {r.phrase: (r.field, round(r.score, 9)) for r in op.match_label(df, anchors).collect()} == want and len(want) > 200
+    few = dict(list(anchors.items())[:150])  # sifted by letters first
+    rows = op._anchor_rows(few)
+    direct = {r.norm: (r.field, r.score) for r in op._match_normalized(df.withColumnRenamed("phrase", "norm"), few, 0.86).collect()}
+    assert {r.phrase: (r.field, r.score) for r in op.match_label(df, few).collect()} == direct
+
+
+def test_a_hundred_thousand_anchors(spark):
+    anchors = {f"f{i}": [f"label {i * 7919 % 1000003:06d} of form"] for i in range(100_000)}
+    df = spark.createDataFrame([(f"label {i * 7919 % 1000003:06d} of forn",) for i in range(50)] + [("nothing like it at all",)], "phrase string")
+    got = {r.phrase: r.field for r in op.match_label(df, anchors).collect()}
+    assert len(got) == 50 and got["label 007919 of forn"] == "f1"
