@@ -121,9 +121,9 @@ select 'document' as entity, document_id as id, title from docs
 union all select 'policy', id, policy_number from policies
 union all select 'message', message_id, md5(content) from messages""")
 def _(d: Data):
-    docs = op.api_projection(d.docs.withColumnRenamed("document_id", "id"), "document")
-    rows = op.api_projection(d.policies, "policy")
-    said = op.api_projection(d.messages.withColumnRenamed("message_id", "id"), "message")
+    docs = op.api_projection(d.docs.withColumnRenamed("document_id", "id"), "document", fill=True)
+    rows = op.api_projection(d.policies, "policy", fill=True)
+    said = op.api_projection(d.messages.withColumnRenamed("message_id", "id"), "message", fill=True)
     return docs.select(F.lit("document").alias("entity"), "id", "title").unionByName(
         rows.select(F.lit("policy").alias("entity"), "id", F.col("policy_number").alias("title"))).unionByName(
         said.select(F.lit("message").alias("entity"), "id", F.md5("content").alias("title")))

@@ -91,10 +91,13 @@ def integrations_by_name(integrations: DataFrame) -> DataFrame:
     return integrations.orderBy("name")
 
 
-def api_projection(df: DataFrame, entity: str) -> DataFrame:
-    """The columns an entity shows; ones the frame lacks are NULL."""
-    return df.select(*[
-        F.col(c) if c in df.columns else F.lit(None).alias(c) for c in vocab.ENTITY_COLUMNS[entity]])
+def api_projection(df: DataFrame, entity: str, fill: bool = False) -> DataFrame:
+    """The columns an entity shows. One that the frame lacks is an error, or NULL if `fill` asks for it."""
+    shown = vocab.ENTITY_COLUMNS[entity]
+    absent = [c for c in shown if c not in df.columns]
+    if absent and not fill:
+        raise ValueError(f"{entity} lacks {', '.join(absent)}")
+    return df.select(*[F.lit(None).alias(c) if c in absent else F.col(c) for c in shown])
 
 
 # --- conversations ------------------------------------------------------------------
