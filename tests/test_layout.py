@@ -218,3 +218,36 @@ def test_a_hundred_thousand_anchors(spark):
     df = spark.createDataFrame([(f"label {i * 7919 % 1000003:06d} of forn",) for i in range(50)] + [("nothing like it at all",)], "phrase string")
     got = {r.phrase: r.field for r in op.match_label(df, anchors).collect()}
     assert len(got) == 50 and got["label 007919 of forn"] == "f1"
+
+
+def _shuffled(plan) -> int:
+    """Rows written by the exchanges of a plan that has run."""
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_text_of_labels_is_found_without_moving_pairs(spark):
+    rows = spark.range(800).select(
+        F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("word_idx"), F.lit(1).alias("page"),
+        (F.col("id") % 8 * 60.0).alias("x0"), (F.floor(F.col("id") / 8) * 14.0).alias("y0"),
+        (F.col("id") % 8 * 60.0 + 30).alias("x1"), (F.floor(F.col("id") / 8) * 14.0 + 12).alias("y1"),
+        F.when(F.col("id") % 16 == 3, "see").when(F.col("id") % 8 == 3, F.concat(F.lit("w"), "id")).otherwise(
+            F.col("id").cast("string")).alias("text"),
+        F.lit(1.0).alias("conf"), F.lit("pdf_text").alias("source"), F.floor(F.col("id") / 8).cast("int").alias("row_id"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # no constants to plan by
+    labels = rows.filter("text = 'see'").select(
+        "doc_id", "page", F.concat(F.lit("w"), "word_idx").alias("label_id"), F.lit("policy_holder").alias("field"),
+        "text", F.lit(1.0).alias("score"), "x0", "y0", "x1", "y1")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = op.resolve_text_field(labels, rows, {"policy_holder": ["see"]}).select("label_id", "value")
+        got = sorted(map(tuple, found.collect()))
+        moved = _shuffled(found._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    # the next row below holds one word with letters in the label's column; its neighbours have none
+    assert got == sorted((f"w{i}", f"w{i + 8}") for i in range(3, 800, 16))
+    assert moved < 50 * 800 / 4, moved  # 50 labels meet 800 words
