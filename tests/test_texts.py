@@ -158,3 +158,20 @@ def test_read_text_documents(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(b"1,2\n3,\xff4")
     got = {r.ext: (r.page, r.text) for r in read_text_documents(spark, str(tmp_path)).collect()}
     assert got == {"txt": (1, "שלום x"), "csv": (1, "1,2\n3,�4")}
+
+
+def test_a_file_per_document_needs_no_folder_per_document(spark, tmp_path):
+    import os
+
+    from docketry.checks import load_all
+    from docketry.session import shared_folder
+    from docketry.sources.tables import SCHEMAS
+
+    rows = [(i, f"text {i}" if i % 3 else None, "en", "s", None) for i in range(20)]
+    spark.createDataFrame(rows, SCHEMAS["documents"]).write.parquet(f"{tmp_path}/documents.parquet")
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = load_all()[0]["read_text_documents"](spark, str(tmp_path))
+    assert sorted(r.chars for r in got.collect()) == sorted(len(t or "") + 1 for _, t, *_ in rows)
+    (folder,) = [n for n in set(os.listdir(root)) - before if n.startswith("texts-")]
+    assert not [n for n in os.listdir(f"{root}/{folder}") if os.path.isdir(f"{root}/{folder}/{n}")]
