@@ -156,3 +156,29 @@ def test_rescan_touches_the_buckets_of_its_vehicles(spark, tmp_path):
     assert all(len(v) <= 2 for at in versions for v in at.values())
     changed = [b for b in versions[3] if versions[3][b] != versions[2][b]]
     assert len(changed) == 1  # and no other bucket was written
+
+
+def test_windows_not_yet_ended_are_given_too(spark, tmp_path):
+    from datetime import datetime
+
+    from docketry.streaming import jobs
+
+    shape = "created_at timestamp, input_tokens long, output_tokens long, success boolean"
+    source, table = f"{tmp_path}/in", f"{tmp_path}/table"
+    for rows in ([(1, 5, 1), (2, 9, 2)], [(2, 20, 4), (1, 1, 8)], [(2, 23, 16), (9, 0, 32)]):
+        stream = arrive(spark, source, [(datetime(2024, 1, d, h), n, 2 * n, True) for d, h, n in rows], shape)
+        jobs.stream_usage_windows(stream, table, checkpoint=f"{tmp_path}/cp", open_too=True).awaitTermination()
+    got = sorted((str(r.start)[:10], r.calls, r.input_tokens, r.successful) for r in jobs.current_windows(spark, table).collect())
+    # the row of the first day that comes after its end is late, as before
+    assert got == [("2024-01-01", 1, 1, 1), ("2024-01-02", 3, 22, 3), ("2024-01-09", 1, 32, 1)]
+
+
+def test_usage_query_counts_the_newest_day(spark, tmp_path):
+    from datetime import datetime
+
+    from docketry.sources.tables import SCHEMAS
+
+    rows = [(i, datetime(2024, 1, 1 + i // 2, 5), 1, "view", 1.0, '{"k": 3}') for i in range(5)]
+    spark.createDataFrame(rows, SCHEMAS["events"]).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, load_all()[0]["stream_usage_windows"](spark, str(tmp_path)).collect()))
+    assert got == [("2024-01-01", 2, 6, 12, 2), ("2024-01-02", 2, 6, 12, 2), ("2024-01-03", 1, 3, 6, 1)]
