@@ -103,6 +103,17 @@ def test_language_without_reference_is_not_held_against_others(frame, n_rare):
     assert got[303]["word_distance"] > quality.Limits().max_word_distance
 
 
+def test_every_language_has_its_reference(frame):
+    """More languages than were once kept; the documents of each are judged by their own words."""
+    n_langs, least = 215, quality.Limits().min_documents
+    rows = [(k * 1000 + i, made_up(k, "aeilnrst", 110), f"l{k:03}", "s", None) for k in range(n_langs) for i in range(least)]
+    docs = frame(rows, DOCS)
+    refs = quality.references(docs)
+    assert {r["lang"] for r in refs.collect()} == {f"l{k:03}" for k in range(n_langs)} | {"*"}
+    got = quality.judge(docs, refs).collect()
+    assert len(got) == len(rows) and all(r["word_distance"] is not None for r in got)
+
+
 RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"),
          url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
 
