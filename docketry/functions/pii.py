@@ -19,19 +19,30 @@ def sanitize_text(col: Column, patterns: list[tuple] = vocab.PII_PATTERNS) -> Co
     """Mask each kind of personal data in turn -> struct(text, counts).
 
     A stage counts its matches on the text the stage before it produced, so an
-    already masked span is never counted again.
+    already masked span is never counted again. A text without the characters that
+    a pattern cannot do without is not searched, and one without matches not rewritten.
     """
     kinds = [p[0] for p in patterns]
 
     def stage(i: int) -> Callable[[Column], Column]:
         kind, placeholder, pattern, ignore_case = patterns[i]
         regex = _java(pattern, ignore_case)
-        return lambda s: F.struct(
-            F.regexp_replace(s["text"], regex, placeholder).alias("text"),
-            *[s[k].alias(k) for k in kinds[:i]],
-            F.regexp_count(s["text"], F.lit(regex)).alias(kind))
 
-    state = F.struct(col.alias("text"))
+        def masked(s: Column) -> Column:
+            found = F.regexp_count(s["text"], F.lit(regex))
+            if pattern in vocab.PII_SIGNS:
+                found = F.when(F.contains(s["text"], F.lit(vocab.PII_SIGNS[pattern])), found).otherwise(F.lit(0))
+            elif pattern in vocab.PII_OF_DIGITS and plain:
+                found = F.when(s["digits"], found).otherwise(F.lit(0))
+            return let(F.struct(s.alias("s"), found.alias("n")), lambda x: F.struct(
+                F.when(x["n"] > 0, F.regexp_replace(x["s"]["text"], regex, placeholder)).otherwise(x["s"]["text"]).alias("text"),
+                x["s"]["digits"].alias("digits"), *[x["s"][k].alias(k) for k in kinds[:i]], x["n"].alias(kind)))
+
+        return masked
+
+    # a stage that puts digits in would make the answer for the given text useless
+    plain = not any(c.isdigit() for p in patterns for c in p[1])
+    state = F.struct(col.alias("text"), F.rlike(col, F.lit(r"(?U)\d")).alias("digits"))
     for i in range(len(patterns)):
         state = let(state, stage(i))
 
@@ -84,15 +95,17 @@ def redact_text(col: Column, enabled: bool = True) -> Column:
         return F.struct(col.alias("text"), none.alias("types"))
     eight = F.lit(vocab.EIGHT_DIGIT_ID)
 
-    def hide(masked: Column) -> Column:
-        more = F.when(F.rlike(masked["text"], eight), F.array(F.lit("id"))).otherwise(none)
+    def hide(m: Column) -> Column:
+        masked, found = m["masked"], m["found"]
+        more = F.when(found, F.array(F.lit("id"))).otherwise(none)
         types = F.array_sort(F.array_union(F.map_keys(masked["counts"]), more))
         return F.struct(
-            F.regexp_replace(masked["text"], eight, "[ID]").alias("text"),
+            F.when(found, F.regexp_replace(masked["text"], eight, "[ID]")).otherwise(masked["text"]).alias("text"),
             F.coalesce(types, none).alias("types"),
         )
 
-    return let(sanitize_text(col), hide)
+    searched = let(sanitize_text(col), lambda m: F.struct(m.alias("masked"), F.rlike(m["text"], eight).alias("found")))
+    return let(searched, hide)
 
 
 def blocked_category(col: Column, categories: list[str] = vocab.BLOCKED_CATEGORIES) -> Column:

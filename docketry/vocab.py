@@ -61,6 +61,9 @@ PII_PATTERNS_STRICT = [
     (t, h, r"(?:(?<!\w)\+972[-\s]?|\b0)(?:\d[-\s]?){8,9}\d\b" if t == "phone" else p, i)
     for t, h, p, i in PII_PATTERNS
 ]
+# What a text must hold to match: these characters, or a digit of any script.
+PII_SIGNS = {p: "@" if t == "email" else "://" for t, _, p, _ in PII_PATTERNS if t in ("email", "url")}
+PII_OF_DIGITS = {p for t, _, p, _ in PII_PATTERNS + PII_PATTERNS_STRICT if t not in ("email", "url")}
 EIGHT_DIGIT_ID = r"(?<!\d)\d{8}(?!\d)"
 HIGH_SENSITIVITY_TYPES = ["id", "credit_card", "iban"]
 

@@ -175,3 +175,27 @@ def test_a_file_per_document_needs_no_folder_per_document(spark, tmp_path):
     assert sorted(r.chars for r in got.collect()) == sorted(len(t or "") + 1 for _, t, *_ in rows)
     (folder,) = [n for n in set(os.listdir(root)) - before if n.startswith("texts-")]
     assert not [n for n in os.listdir(f"{root}/{folder}") if os.path.isdir(f"{root}/{folder}/{n}")]
+
+
+def test_text_without_signs_is_not_searched(spark):
+    """A run that a search for addresses would go through once per letter; signs further on are still found."""
+    import time
+
+    run = "a." * 60000
+    rows = [(1, run), (2, "mail a.b@c.org at 10.0.0.1 or 12345678, see HTTPS://x.org/1"), (3, None), (4, "id ٣٣٣٣٣٣٣٣٣"), (5, "")]
+    texts = spark.createDataFrame(rows, "i int, t string")
+    start = time.time()
+    got = {r.i: r.r for r in texts.select("i", pii.redact_text(F.col("t")).alias("r")).collect()}
+    assert time.time() - start < 10
+    assert got[1].text == run and got[1].types == []
+    assert got[2].text == "mail [EMAIL] at [IP] or [ID], see [URL]" and got[2].types == ["email", "id", "ip", "url"]
+    assert got[3].text is None and got[3].types == [] and got[5].text == ""
+    assert got[4].text == "id [ID]" and got[4].types == ["id"]
+
+
+def test_custom_placeholder_with_digits_is_searched_again(spark):
+    """What a stage puts in may be what the next one looks for."""
+    digits = [p for p in vocab.PII_PATTERNS if p[0] == "id"]
+    patterns = [("word", " 123456789 ", r"\bnumber\b", False), *digits]
+    row = spark.createDataFrame([("a number",)], "t string").select(pii.sanitize_text(F.col("t"), patterns).alias("r")).first().r
+    assert row.counts == {"word": 1, "id": 1}
