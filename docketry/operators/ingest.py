@@ -30,11 +30,12 @@ def _with_windows(pages: DataFrame, words: int, overlap: int) -> tuple[DataFrame
     if words <= 0:
         raise ValueError("words must be positive")
     step = words - max(0, min(overlap, words - 1))
-    split = pages.withColumn("parts", words_of(F.col("text"))).drop("text")
-    return split.withColumn("n", _windows(F.size("parts"), words, step)).filter("n > 0"), step
+    return pages.withColumn("n", _windows(F.size(words_of(F.col("text"))), words, step)).filter("n > 0"), step
 
 
 def _cut(pages: DataFrame, words: int, step: int, before: Column) -> DataFrame:
+    # texts move, not their words: an array of words takes several times the bytes
+    pages = pages.withColumn("parts", words_of(F.col("text")))
     windows = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1),
         lambda j: F.array_join(F.slice("parts", j * step + 1, words), " "))
@@ -66,9 +67,11 @@ def chunk_plain_text(
 def chunk_dedupe_positions(chunks: DataFrame) -> DataFrame:
     """Drop chunks whose normalized text came earlier in the document; renumber the rest."""
     norm = F.lower(normalize_ws(F.col("content")))
+    # a short text is its own key, of fewer bytes than any digest
+    key = F.when(F.octet_length("norm") < 32, F.encode("norm", "utf-8")).otherwise(F.unhex(F.sha2("norm", 256)))
     kept = (
         chunks.select("document_id", "position", norm.alias("norm")).filter("norm <> ''")
-        .groupBy("document_id", F.sha2("norm", 256).alias("digest"))
+        .groupBy("document_id", key.alias("digest"))
         .agg(F.min("position").alias("position"), F.lit(1).alias("one"))
     )
     places = running_total(kept.select("document_id", "position", "one"), ["document_id"], "position", "one")

@@ -199,3 +199,15 @@ def test_custom_placeholder_with_digits_is_searched_again(spark):
     patterns = [("word", " 123456789 ", r"\bnumber\b", False), *digits]
     row = spark.createDataFrame([("a number",)], "t string").select(pii.sanitize_text(F.col("t"), patterns).alias("r")).first().r
     assert row.counts == {"word": 1, "id": 1}
+
+
+def test_chunking_moves_texts_and_short_keys(spark):
+    """No array of words and no digest of a short text is shuffled; equal chunks are told by their whole text."""
+    pages = spark.createDataFrame([(1, 1, "A b c a B c d"), (1, 2, "a b  c " + "y" * 40 + " z z"), (1, 3, "y" * 40 + " Z z")],
+                                  "document_id long, page int, text string")
+    chunks = ingest.chunk_pages(pages, 3, 0)
+    plan = chunks._sc._jvm.PythonSQLUtils.explainString(chunks._jdf.queryExecution(), "formatted")
+    moved = [p.split("\n")[1] for p in plan.split("\n\n") if " Exchange\n" in p]
+    assert moved and not any("parts#" in p for p in moved)
+    got = sorted((r.position, r.page, r.content) for r in ingest.chunk_dedupe_positions(chunks).collect())
+    assert got == [(0, 1, "A b c"), (1, 1, "d"), (2, 2, "y" * 40 + " z z")]
