@@ -126,3 +126,19 @@ def test_planted_copies_of_documents_are_found(spark):
 
 def test_no_rows(spark):
     assert nc.corpus_near_duplicates(spark.createDataFrame([], ROW)).collect() == []
+
+
+def test_gram_hashes_mix_each_character_once(monkeypatch):
+    """As many mixing passes for long grams as for short ones, and the same hashes as run by run."""
+    from docketry.functions import grams as g
+
+    of, calls, plain = points("Ünï cödé ☃ the end of it"), [], g.mixed
+    expected = []
+    for i in range(len(of) - 7):
+        total = 8
+        for k in range(8):
+            total += int(plain(of[i + k: i + k + 1] + g.U64(1))[0]) * int(g._ODD[k])
+        expected.append(int(plain(g.np.array([total & (1 << 64) - 1], g.U64))[0]))
+    monkeypatch.setattr(g, "mixed", lambda x: calls.append(len(x)) or plain(x))
+    assert grams(of, 8).tolist() == expected
+    assert len(calls) == 2
