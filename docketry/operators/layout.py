@@ -408,21 +408,29 @@ def _as_box(df: DataFrame, name: str) -> Column:
     return F.struct(*[c for c in df.columns if c not in ("doc_id", "label_id")]).alias(name)
 
 
-def _in_reach(labels: DataFrame, words: DataFrame, positive: bool) -> DataFrame:
-    """(doc_id, label_id, l, w) of the words in the bands a label reaches; sideways too
-    when only positive scores matter."""
+def _as_columns(df: DataFrame, name: str) -> dict[str, Column]:
+    """The fields of `_as_box` as columns of their own, by name."""
+    return {c: F.col(f"{name}_{c}") for c in df.columns if c not in ("doc_id", "label_id")}
+
+
+def _in_reach(labels: DataFrame, words: DataFrame, positive: bool) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """(doc_id, label_id, l_..., w_...) of the words in the bands a label reaches, and the columns
+    of label and word by name; sideways too when only positive scores matter.
+
+    Label and word stay single columns, so that those nobody reads are not shuffled.
+    """
     labels, words = geo.with_center(labels), geo.with_center(words)
-    label, word = F.col("l"), F.col("w")
-    left = labels.select("doc_id", "page", "label_id", _as_box(labels, "l"))
+    label, word = _as_columns(labels, "l"), _as_columns(words, "w")
+    left = labels.select("doc_id", "page", "label_id", *[F.col(c).alias(f"l_{c}") for c in label])
     reach = geo.reach_of(label)
     left = left.withColumn("band", F.explode(F.sequence(
         F.floor((label["cy"] - reach) / BAND).cast("int"), F.floor((label["cy"] + reach) / BAND).cast("int"))))
-    right = words.select("doc_id", "page", _as_box(words, "w")).withColumn(
+    right = words.select("doc_id", "page", *[F.col(c).alias(f"w_{c}") for c in word]).withColumn(
         "band", F.floor(word["cy"] / BAND).cast("int"))
     met = left.join(right, ["doc_id", "page", "band"]).drop("band", "page")
     if positive:
         met = met.filter(F.abs(word["cx"] - label["cx"]) <= geo.width_of_reach(label, word))
-    return met
+    return met, label, word
 
 
 def label_word_relation(labels: DataFrame, words: DataFrame, positive: bool = True) -> DataFrame:
@@ -430,12 +438,14 @@ def label_word_relation(labels: DataFrame, words: DataFrame, positive: bool = Tr
 
     With `positive`, words that score 0 or less - they can never be chosen - are left out.
     """
+    met, label, word = _in_reach(labels, words, positive)
     # inline keeps the test on the score out of the join condition, where it would be
     # worked out for every pair of a band instead of the few in reach
-    rated = _in_reach(labels, words, positive).select(
-        "doc_id", "label_id", F.col("w.word_idx").alias("word_idx"), "l", "w",
-        F.inline(F.array(geo.relation_score(F.col("l"), F.col("w")))))
-    return rated.filter("score > 0") if positive else rated
+    rated = met.select("*", F.inline(F.array(geo.relation_score(label, word))))
+    if positive:
+        rated = rated.filter("score > 0")
+    l, w = (F.struct(*[x.alias(c) for c, x in side.items()]) for side in (label, word))
+    return rated.select("doc_id", "label_id", word["word_idx"].alias("word_idx"), "score", "relation", l.alias("l"), w.alias("w"))
 
 
 def best_value_per_label(labels: DataFrame, words: DataFrame, numeric_only: bool = False) -> DataFrame:

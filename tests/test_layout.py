@@ -251,3 +251,16 @@ def test_text_of_labels_is_found_without_moving_pairs(spark):
     # the next row below holds one word with letters in the label's column; its neighbours have none
     assert got == sorted((f"w{i}", f"w{i + 8}") for i in range(3, 800, 16))
     assert moved < 50 * 800 / 4, moved  # 50 labels meet 800 words
+
+
+def test_words_meet_labels_without_columns_nobody_reads(spark):
+    words = spark.range(40).selectExpr(
+        "1L doc_id", "id word_idx", "1 page", "id * 20.0 x0", "0.0 y0", "id * 20.0 + 15 x1", "12.0 y1", "'unread' text", "1.0 conf",
+        "'unread' source")
+    labels = words.filter("word_idx = 3").selectExpr(
+        "doc_id", "page", "'w' label_id", "'f' field", "text", "1.0 score", "x0", "y0", "x1", "y1")
+    found = op.label_word_relation(labels, words)
+    plan = found.select("doc_id", "label_id", "word_idx", "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unread" not in plan
+    near = {r.word_idx: r for r in found.collect()}
+    assert near[4].w.text == "unread" and near[4].l.field == "f" and near[4].relation == "same_row"
