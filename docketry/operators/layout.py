@@ -181,6 +181,23 @@ def _sifted(letters: Column, anchors: dict[str, list[str]], threshold: float) ->
     return F.exists(listed, near)
 
 
+def _sized(norm: Column, anchors: dict[str, list[str]]) -> Column:
+    """Is a normalized phrase about as long as an anchor, or does it hold one? `_plausible` is never
+    true without; this asks less, but in plain comparisons, and most runs go here."""
+    sizes, several = set(), set()
+    for _, text in _anchor_rows(anchors):
+        slack = max(3, len(text) // 4)
+        sizes.update(range(len(text) - slack, len(text) + slack + 1))
+        if " " in text:
+            several.add(text)
+    found = F.length(norm).isin(*sizes)
+    if len(several) > SPELLED_OUT:
+        return found | F.exists(F.array(*map(F.lit, sorted(several))), lambda a: F.contains(norm, a))
+    for text in sorted(several):
+        found = found | F.contains(norm, F.lit(text))
+    return found
+
+
 def _plausible(norm: Column, anchors: dict[str, list[str]], threshold: float) -> Column:
     """Can a normalized phrase reach the threshold for some anchor?
 
@@ -353,10 +370,11 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     def read_as(order) -> Column:
         return F.coalesce(*[F.when(F.col("span") == n, phrase(order(members[:n]))) for n in range(1, max_span + 1)])
 
-    runs = runs.withColumns({
-        "lr_norm": read_as(list), "rl_norm": F.when(F.col("span") > 1, read_as(lambda part: part[::-1])).otherwise("")})
+    # inline keeps both readings from being put together again for every test below
+    backward = F.when(F.col("span") > 1, read_as(lambda part: part[::-1])).otherwise("")
+    runs = runs.select("*", F.inline(F.array(F.struct(read_as(list).alias("lr_norm"), backward.alias("rl_norm")))))
     if sift:
-        runs = runs.filter(_plausible(F.col("lr_norm"), anchors, threshold) | _plausible(F.col("rl_norm"), anchors, threshold))
+        runs = runs.filter(_sized(F.col("lr_norm"), anchors) | _sized(F.col("rl_norm"), anchors)).filter(_plausible(F.col("lr_norm"), anchors, threshold) | _plausible(F.col("rl_norm"), anchors, threshold))
     runs = settle(runs)  # few are left; they are read three times below
     matches = _match_normalized(
         runs.select(F.explode(F.array("lr_norm", "rl_norm")).alias("norm")), anchors, threshold)

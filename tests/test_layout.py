@@ -253,6 +253,18 @@ def test_text_of_labels_is_found_without_moving_pairs(spark):
     assert moved < 50 * 800 / 4, moved  # 50 labels meet 800 words
 
 
+def test_plain_sift_passes_whatever_is_plausible(spark):
+    anchors = {"a": ["name mark", "plate"], "b": ["id"]}
+    many = {"a": [f"name m{k}" for k in range(30)] + ["plate"]}
+    said = ["name mark", "the name mark", "name  mark", "plat", "plates", "id", "x", "one two three four five six", "name m7 and", "", None]
+    rows = spark.createDataFrame([(t,) for t in said], "norm string")
+    for known in (anchors, many):
+        got = rows.select("norm", op._sized(F.col("norm"), known).alias("sized"),
+                          op._plausible(F.col("norm"), known, 0.86).alias("plausible")).collect()
+        assert any(r.plausible for r in got) and all(r.sized for r in got if r.plausible)
+        assert not next(r.sized for r in got if r.norm == "one two three four five six")
+
+
 def test_words_meet_labels_without_columns_nobody_reads(spark):
     words = spark.range(40).selectExpr(
         "1L doc_id", "id word_idx", "1 page", "id * 20.0 x0", "0.0 y0", "id * 20.0 + 15 x1", "12.0 y1", "'unread' text", "1.0 conf",
