@@ -1,6 +1,6 @@
 """Connected components of a table of links, by large-star and small-star steps.
 
-Every step is a grouped minimum and a join; links are contracted inside their partitions
+Every step is a minimum over sorted neighbours; links are contracted inside their partitions
 first (a union-find over one partition), so the steps run on few rows. Nothing goes to the
 driver but a count and a checksum per step.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.tables import settle
@@ -44,15 +44,20 @@ def _contracted(links: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v) with u > v."""
+    """One step over edges (u, v) with u > v; edges may be repeated.
+
+    A node's neighbours are read in order, so that the smallest of them is the first: one
+    shuffle and one sort, and no group is held in memory.
+    """
+    along = Window.partitionBy("u").orderBy("v")
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(low, "u")
-    return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        return both.withColumn("m", F.least(F.first("v").over(along), "u")).filter("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.withColumn("m", F.first("v").over(along))
+    return low.select(F.inline(F.array(
+        F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    ).filter("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -50,6 +50,8 @@ GROUPS = 512
 #: rounds of pivots before the tree; a work setting, results do not depend on it
 ROUNDS = 4
 SHARD_ROWS = 2048
+#: nodes whose keys are listed in one batch
+OPENED = 256
 #: a table of so many ids at most (16 bytes a row) is broadcast; a larger one is joined by shuffle
 CARRIED_NODES = 1_000_000
 
@@ -162,18 +164,29 @@ def nodes_of(docs: DataFrame, order: np.ndarray, like: Similarity) -> DataFrame:
                         seen.add(node)
                     first = len(values) + like.percent * len(values) // -100 + 1
                     rare = np.lexsort((values, order[bucket(values)]))[:first]
-                    keys.append(values[rare].view(np.int64))
+                    keys.append(as_bytes(values[rare]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_id", "n", "node", "keys"])
+                 pa.array(keys, pa.binary())], names=["doc_id", "text_id", "n", "node", "keys"])
 
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "text").mapInArrow(
-        make, "doc_id long, text_id long, n long, node long, keys array<long>")
+        make, "doc_id long, text_id long, n long, node long, keys binary")
 
 
 def shards_of(nodes: DataFrame, percent: int) -> DataFrame:
     """shard, node, n: members of every shard with two members or more; shards with equal members once."""
-    rows = nodes.filter("keys is not null").select(F.explode("keys").alias("key"), "n", "node").repartition("key")
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, OPENED):
+                part = batch.slice(k, OPENED)
+                raw = part.column(0).to_pylist()
+                own = np.repeat(np.arange(len(raw)), [len(r) // 6 for r in raw])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(from_bytes(b"".join(raw)).view(np.int64)), part.column(1).take(pa.array(own)),
+                     part.column(2).take(pa.array(own))], names=["key", "n", "node"])
+
+    rows = nodes.filter("keys is not null").select("keys", "n", "node").mapInArrow(
+        opened, "key long, n long, node long").repartition("key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -382,6 +395,11 @@ def tree_pairs(shards: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return placed.mapInArrow(search, "u long, v long").distinct()
 
 
+def as_links(labels: DataFrame) -> DataFrame:
+    """Components found so far, as links: they stand for all links that led to them."""
+    return labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def classes(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     """doc_id, text_id, n_shingles, component of every document; linked documents share a component."""
     nodes = settle(nodes_of(docs, rarity(docs, like.shingle), like))
@@ -389,16 +407,15 @@ def classes(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     one = F.min(F.struct("doc_id", "text_id")).alias("one")
     involved = settle(nodes.join(shards.select("node").distinct(), "node", "left_semi").groupBy("node").agg(one).select("one.*"))
     sets = settle(sets_table(docs, involved, like))
-    links = labels = None
+    labels = None
     for turn in range(ROUNDS):
         stars = star_pairs(shards, labels, turn, like.percent)
         found = settle(verified(settle(may_link(stars, sets, like.percent)), sets, like.percent))
-        if links is not None and not found.limit(1).count():
+        if labels is not None and not found.limit(1).count():
             break
-        links = found if links is None else links.unionByName(found)
-        labels = settle(components(links))
+        labels = components(found if labels is None else found.unionByName(as_links(labels)))
     more = settle(verified(settle(tree_pairs(shards, labels, sets, like.percent)), sets, like.percent))
-    final = components(links.unionByName(more)) if more.limit(1).count() else labels
+    final = components(more.unionByName(as_links(labels))) if more.limit(1).count() else labels
     return nodes.join(final, "node", "left").select(
         "doc_id", "text_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 

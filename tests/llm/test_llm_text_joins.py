@@ -217,3 +217,20 @@ def test_run_length_index_marks_later_places():
         assert got.tolist() == want
     index = runindex.build(np.array([2, 3] * 50 + [0], np.uint16))
     assert len(index.heads) < 8 and index.lengths.sum() == 101  # a repetitive text has few runs
+
+
+def test_star_steps_need_no_join_and_keep_all_links(spark):
+    edges = spark.createDataFrame([(5, 1), (5, 1), (5, 2), (9, 5), (9, 3), (7, 6)], "u long, v long")
+    step = components._star(components._star(edges, large=True), large=False)
+    assert "Join" not in step._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    assert got == {2: 1, 3: 1, 5: 1, 9: 1, 7: 6}
+
+
+def test_shard_keys_are_kept_in_six_bytes(frame):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = frame([(1, text, None, None, None), (2, text + " more", None, None, None), (3, "", None, None, None)], DOCS)
+    nodes = jaccard_join.nodes_of(docs, jaccard_join.rarity(docs, 5), jaccard_join.Similarity())
+    sizes = {r["doc_id"]: len(r["keys"]) if r["keys"] else None for r in nodes.collect()}
+    assert sizes == {1: 6 * (26 - 20 + 1), 2: 6 * (27 - 21 + 1), 3: None}
+    assert {r["n"] for r in jaccard_join.shards_of(nodes, 75).collect()} == {26, 27}
