@@ -4,10 +4,12 @@ Policy columns: id, vehicle_number, insurance_type, policy_number, insurer,
 start_date, end_date, file_hash. Policies whose number has no digits belong to
 no vehicle and are never compared.
 
-Pairs are found by joins on keys that make two policies comparable - the same
-file, the same policy number, a shared slice of time - and never by listing all
-pairs of a vehicle, so the work follows the number of findings and a vehicle
-that holds a large part of all rows is spread over many keys.
+A vehicle of few policies is gathered in one row and its pairs are held against the
+rules there, so its policies are shuffled once. For the other vehicles pairs are found by
+joins on keys that make two policies comparable - the same file, the same policy number,
+a shared slice of time - and never by listing all pairs of a vehicle, so the work follows
+the number of findings and a vehicle that holds a large part of all rows is spread over
+many keys.
 """
 
 from __future__ import annotations
@@ -19,9 +21,14 @@ from pyspark.sql import functions as F
 
 from docketry import vocab
 from docketry.functions.values import is_expired, normalize_registration
+from docketry.session import settle
 
 # Members of one block when the pairs of a group of copies are listed block against block.
 COPY_BLOCK = 1000
+# Policies of a vehicle whose pairs are listed in one place; a work setting, results do not depend on it.
+FEW_POLICIES = 64
+# So many vehicles with more policies at most are broadcast; more are joined by shuffle.
+CARRIED_VEHICLES = 1_000_000
 # Slices of time, in days. An interval uses the first width that cuts it into at
 # most SLICES parts; the widest covers every date.
 SLICE_WIDTHS = [64, 1024, 16384, 4194304]
@@ -118,24 +125,34 @@ def _overlapping(p: DataFrame) -> DataFrame:
     """
     valid = p.filter(F.col("start") <= F.col("end"))
     met = _sides(_covered(valid), _starting(valid), ["vehicle", "level", "slice"])
+    return met.filter(_overlaps()).select("vehicle", *_overlap_columns())
+
+
+def _same_type() -> Column:
+    return F.col("a_insurance_type").eqNullSafe(F.col("b_insurance_type"))
+
+
+def _overlaps() -> Column:
     mixed = {"COMPREHENSIVE", "THIRD_PARTY"}
-    same = F.col("a_insurance_type").eqNullSafe(F.col("b_insurance_type"))
     both = (
         F.col("a_insurance_type").isin(*mixed) & F.col("b_insurance_type").isin(*mixed)
     )
-    met = met.filter(
+    return (
         (F.col("a_start") <= F.col("b_start")) & (F.col("b_start") <= F.col("a_end"))
         & ((F.col("a_start") < F.col("b_start")) | (F.col("a_id") < F.col("b_id")))
-        & (same | F.coalesce(both, F.lit(False))) & ~_same_papers()
+        & (_same_type() | F.coalesce(both, F.lit(False))) & ~_same_papers()
     )
-    return met.select(
-        "vehicle", F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"),
-        F.when(same, "overlap").otherwise("redundant").alias("basis"),
+
+
+def _overlap_columns() -> list[Column]:
+    return [
+        F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"),
+        F.when(_same_type(), "overlap").otherwise("redundant").alias("basis"),
         F.col("a_insurance_type").alias("insurance_type"),
         F.col("b_start").alias("overlap_start"),
         F.least("a_end", "b_end").alias("overlap_end"),
         F.lit(None).cast("int").alias("gap"),
-    )
+    ]
 
 
 def _renewing(p: DataFrame, renewal_gap: int) -> DataFrame:
@@ -151,7 +168,14 @@ def _renewing(p: DataFrame, renewal_gap: int) -> DataFrame:
     typed = F.coalesce("insurance_type", F.lit(""))
     keys = ["vehicle", "kind", "slice"]
     met = _sides(older.withColumn("kind", typed), newer.withColumn("kind", typed), keys)
-    gap = F.datediff("b_start", "a_end")
+    return met.filter(_renews(renewal_gap)).select("vehicle", *_renewal_columns())
+
+
+def _gap() -> Column:
+    return F.datediff("b_start", "a_end")
+
+
+def _renews(renewal_gap: int) -> Column:
     in_order = (F.col("a_id") < F.col("b_id")) | (
         (F.col("a_id") > F.col("b_id"))
         & F.coalesce(F.col("b_end") > F.col("a_start"), F.lit(False))
@@ -160,36 +184,77 @@ def _renewing(p: DataFrame, renewal_gap: int) -> DataFrame:
         interval_overlap(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))["days"] > 0,
         F.lit(False),
     )
-    met = met.filter(gap.between(0, renewal_gap) & in_order & apart & ~_same_papers())
-    return met.select(
-        "vehicle", "a_id", "b_id", F.lit("renewal").alias("basis"),
+    return _gap().between(0, renewal_gap) & in_order & apart & ~_same_papers()
+
+
+def _renewal_columns() -> list[Column]:
+    return [
+        F.col("a_id"), F.col("b_id"), F.lit("renewal").alias("basis"),
         F.col("a_insurance_type").alias("insurance_type"),
         F.lit(None).cast("date").alias("overlap_start"),
         F.lit(None).cast("date").alias("overlap_end"),
-        gap.alias("gap"),
-    )
+        _gap().alias("gap"),
+    ]
+
+
+def _copy_columns(basis: str) -> list[Column]:
+    return [
+        F.col("a_id"), F.col("b_id"), F.lit(basis).alias("basis"),
+        F.lit(None).cast("string").alias("insurance_type"),
+        F.lit(None).cast("date").alias("overlap_start"),
+        F.lit(None).cast("date").alias("overlap_end"), F.lit(None).cast("int").alias("gap"),
+    ]
+
+
+def _gathered(p: DataFrame, renewal_gap: int) -> DataFrame:
+    """The pairs of vehicles of few policies: each vehicle is one row, its pairs are listed from it."""
+    names = [c for c in p.columns if c != "vehicle"]
+    rows = p.groupBy("vehicle").agg(F.collect_list(F.struct(*names)).alias("rows")).filter(F.size("rows") > 1)
+    met = rows.select("vehicle", "rows", F.explode("rows").alias("a")).select(
+        "vehicle", "a", F.explode("rows").alias("b")).select(
+        "vehicle", *[F.col(side)[c].alias(f"{side}_{c}") for side in "ab" for c in names])
+    ordered = F.col("a_id") < F.col("b_id")
+    same_file = F.col("a_hash") == F.col("b_hash")
+    same_number = (F.col("a_number") == F.col("b_number")) & (F.col("a_insurer") == F.col("b_insurer"))
+    valid = (F.col("a_start") <= F.col("a_end")) & (F.col("b_start") <= F.col("b_end"))
+    typed = [F.coalesce(f"{side}_insurance_type", F.lit("")) for side in "ab"]
+    rules = [
+        (ordered & same_file, _copy_columns("same_file")),
+        (ordered & same_number & ~F.coalesce(same_file, F.lit(False)), _copy_columns("same_number")),
+        (valid & _overlaps(), _overlap_columns()),
+        ((typed[0] == typed[1]) & _renews(renewal_gap), _renewal_columns()),
+    ]
+    found = F.array_compact(F.array(*[F.when(holds, F.struct(*columns)) for holds, columns in rules]))
+    return met.select("vehicle", F.explode(found).alias("found")).select("vehicle", "found.*")
 
 
 def policy_pairs(
-    policies: DataFrame, renewal_gap: int = vocab.RENEWAL_GAP_DAYS, copy_block: int = COPY_BLOCK
+    policies: DataFrame, renewal_gap: int = vocab.RENEWAL_GAP_DAYS, copy_block: int = COPY_BLOCK,
+    few: int = FEW_POLICIES
 ) -> DataFrame:
     """Comparable pairs of one vehicle -> (vehicle, a_id, b_id, basis, ...).
 
     basis: same_file, same_number, overlap, redundant or renewal; the first that
-    holds, in this order.
+    holds, in this order. The vehicles of more than `few` policies are looked up at once.
     """
     p = prepared(policies)
-    none = [
-        F.lit(None).cast("string").alias("insurance_type"),
-        F.lit(None).cast("date").alias("overlap_start"),
-        F.lit(None).cast("date").alias("overlap_end"), F.lit(None).cast("int").alias("gap"),
-    ]
-    files = _copies(p, ["vehicle", "hash"], copy_block).select(
-        "vehicle", "a_id", "b_id", F.lit("same_file").alias("basis"), *none)
+    many = settle(p.groupBy("vehicle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("vehicle"))
+    known = many.limit(CARRIED_VEHICLES + 1).count()
+    if not known:
+        return _gathered(p, renewal_gap)
+    if known <= CARRIED_VEHICLES:
+        many = F.broadcast(many)
+    return _gathered(p.join(many, "vehicle", "left_anti"), renewal_gap).unionByName(
+        _joined(p.join(many, "vehicle", "left_semi"), renewal_gap, copy_block))
+
+
+def _joined(p: DataFrame, renewal_gap: int, copy_block: int) -> DataFrame:
+    """The pairs of vehicles of any number of policies, by joins."""
+    files = _copies(p, ["vehicle", "hash"], copy_block).select("vehicle", *_copy_columns("same_file"))
     numbers = (
         _copies(p, ["vehicle", "number", "insurer"], copy_block)
         .filter(~F.coalesce(F.col("a_hash") == F.col("b_hash"), F.lit(False)))
-        .select("vehicle", "a_id", "b_id", F.lit("same_number").alias("basis"), *none)
+        .select("vehicle", *_copy_columns("same_number"))
     )
     return (
         files.unionByName(numbers).unionByName(_overlapping(p))
