@@ -124,16 +124,19 @@ def with_rarest(windows: DataFrame, counts: DataFrame) -> DataFrame:
         (F.col("n_words") - F.size("shingles") + 1).alias("size"))
 
 
-def hits(docs: DataFrame, windows: list[tuple], keep: list[str]) -> DataFrame:
+def hits(docs: DataFrame, windows: list[tuple], keep: list[str], inside: str | None = None) -> DataFrame:
     """docs with the words that lie in an item's window and the items found there added to its lists.
 
     docs has the columns of `keep`, hit_words, items and text; `windows` are rows of
     `with_rarest`. The result has the columns of `keep`, n_words, hit_words and items.
+    With `inside`, a struct among the columns of `keep`, the text is its field of that name, so that
+    it goes to the tasks once.
     """
     by_size: dict[int, dict[int, list[tuple]]] = {}
     for item, text, n_words, shingle, place, size in windows:
         by_size.setdefault(size, {}).setdefault(shingle, []).append((place, n_words, text.encode(), item))
     n_keep = len(keep)
+    holder = None if inside is None else keep.index(inside)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = {size: Finder(np.array(list(group), np.int64).view(np.uint64)) for size, group in by_size.items()}
@@ -141,7 +144,8 @@ def hits(docs: DataFrame, windows: list[tuple], keep: list[str]) -> DataFrame:
             n_words: list[int] = []
             hit_words = [set(x or ()) for x in batch.column(n_keep).to_pylist()]
             items = [set(x or ()) for x in batch.column(n_keep + 1).to_pylist()]
-            for at, texts in slices(batch.column(n_keep + 2)):
+            whole = batch.column(n_keep + 2) if holder is None else batch.column(holder).field("text")
+            for at, texts in slices(whole):
                 words = Words(texts, ALPHANUMERIC)
                 hashes, raw = words.hashes(), None
                 for size, finder in finders.items():
@@ -166,15 +170,15 @@ def hits(docs: DataFrame, windows: list[tuple], keep: list[str]) -> DataFrame:
 
     shape = StructType(list(docs.select(*keep).schema)).add("n_words", "long").add(
         "hit_words", ArrayType(IntegerType())).add("items", ArrayType(LongType()))
-    return docs.select(*keep, "hit_words", "items", "text").mapInArrow(find, shape)
+    return docs.select(*keep, "hit_words", "items", *([] if inside else ["text"])).mapInArrow(find, shape)
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes(), keep: tuple[str, ...] = ("doc_id",),
-                 block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+                 block_windows: int = BLOCK_WINDOWS, inside: str | None = None) -> DataFrame:
     """Every row of docs: the columns of `keep`, n_words, hit_words (places), items (ids found).
 
     A benchmark of more than `block_windows` windows takes one pass over the documents per
-    block; each pass adds to the lists of the one before.
+    block; each pass adds to the lists of the one before. `inside` is as for `hits`.
     """
     windows = settle(item_windows(benchmark, sizes).dropDuplicates(["item_id", "words"]))
     blocks = max(1, -(-windows.count() // block_windows))
@@ -187,7 +191,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes(),
             ).groupBy("size").agg(F.collect_set("s").alias("shingles")).collect()}
         chosen = [tuple(r) for r in with_rarest(mine, shingle_counts(docs, wanted)).collect()]
         if block == blocks - 1:
-            return hits(state, chosen, list(keep))
+            return hits(state, chosen, list(keep), inside)
+        if inside:
+            state = settle(hits(state, chosen, list(keep), inside).drop("n_words"))
+            continue
         held = hits(state.withColumn("whole_text", F.col("text")), chosen, [*keep, "whole_text"])
         state = settle(held.withColumn("text", F.col("whole_text")).drop("whole_text", "n_words"))
 
@@ -210,4 +217,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes())
 def clean_documents(docs: DataFrame, benchmark: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """The rows of docs, with all columns, that hold no window of an item."""
     given = docs.select(F.struct("*").alias("given"), "text")
-    return find_windows(given, benchmark, sizes, ("given",)).filter(F.size("hit_words") == 0).select("given.*")
+    return find_windows(given, benchmark, sizes, ("given",), inside="given").filter(F.size("hit_words") == 0).select("given.*")

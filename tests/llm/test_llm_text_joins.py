@@ -142,6 +142,24 @@ def test_decontamination_against_brute_force(frame, odd_docs, block):
             k[:3] for k in want.elements())
 
 
+@pytest.mark.parametrize("block", [200_000, 2])
+def test_whole_rows_move_with_their_text_once(frame, odd_docs, block):
+    """pipeline: rows that hold the text as a field are searched without a second copy of it."""
+    from pyspark.sql import functions as F
+
+    docs = frame(odd_docs, DOCS)
+    bench = frame([(1, " ".join(odd_docs[0][1].split()[:14])), (2, "one two"), (3, None)], ITEMS)
+    given = docs.select(F.struct("*").alias("given"), "text")
+    once = decontaminate.find_windows(given, bench, keep=("given",), block_windows=block, inside="given")
+    twice = decontaminate.find_windows(docs, bench, block_windows=block)
+    rows = [sorted(map(repr, df.selectExpr(f"{of}doc_id", "n_words", "hit_words", "sort_array(items)").collect()))
+            for df, of in ((once, "given."), (twice, ""))]
+    assert rows[0] == rows[1] and any("items" in r and "[1]" in r for r in rows[0])
+    plan = decontaminate.clean_documents(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("MapInArrow"):].splitlines()[1]
+    assert "given" in sent and " text#" not in sent[sent.index("AS given"):]
+
+
 def test_clean_documents_keep_all_columns(frame, odd_docs):
     docs = frame(odd_docs, DOCS, ("hit_words", "given"))
     clean = decontaminate.clean_documents(docs, frame([(1, " ".join(odd_docs[0][1].split()[:12]))], ITEMS))
