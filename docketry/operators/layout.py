@@ -30,7 +30,7 @@ from docketry.functions.values import (
 from docketry.operators.common import top_per
 from docketry.operators.near_copies import Rule
 from docketry.operators.similarity import ratio
-from docketry.session import settle
+from docketry.session import settle, settle_by
 
 BAND = 64.0
 BOX = ["x0", "y0", "x1", "y1"]
@@ -375,9 +375,20 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     runs = runs.select("*", F.inline(F.array(F.struct(read_as(list).alias("lr_norm"), backward.alias("rl_norm")))))
     if sift:
         runs = runs.filter(_sized(F.col("lr_norm"), anchors) | _sized(F.col("rl_norm"), anchors)).filter(_plausible(F.col("lr_norm"), anchors, threshold) | _plausible(F.col("rl_norm"), anchors, threshold))
-    runs = settle(runs)  # few are left; they are read three times below
-    matches = _match_normalized(
-        runs.select(F.explode(F.array("lr_norm", "rl_norm")).alias("norm")), anchors, threshold)
+    part = F.slice(F.array(*members), 1, F.col("span"))
+    text = F.transform(part, lambda m: m["text"])
+
+    def edge(pick, name: str) -> Column:
+        return pick(F.transform(part, lambda m: m[name])).alias(name)
+
+    # few are left; they are read three times below
+    runs = settle(runs.select(
+        "doc_id", "page", "row_id", "pos", "span", "lr_norm", "rl_norm", F.array_join(text, " ").alias("lr_text"),
+        F.when(F.col("span") > 1, F.array_join(F.reverse(text), " ")).alias("rl_text"),
+        edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1")), in_place=True)
+    # of known size: as long as the different labels are few, runs stay where they are
+    matches = settle(_match_normalized(
+        runs.select(F.explode(F.array("lr_norm", "rl_norm")).alias("norm")), anchors, threshold))
 
     def read(name: str) -> DataFrame:
         return matches.select(F.col("norm").alias(f"{name}_norm"), F.struct("field", "score").alias(f"{name}_hit"))
@@ -385,17 +396,9 @@ def label_hits(rows: DataFrame, anchors: dict[str, list[str]] = vocab.ANCHORS, m
     hits = runs.join(read("lr"), "lr_norm", "left").join(read("rl"), "rl_norm", "left")
     backwards = F.coalesce("rl_hit.score", F.lit(0.0)) > F.coalesce("lr_hit.score", F.lit(0.0))
     hit = F.when(backwards, F.col("rl_hit")).otherwise(F.col("lr_hit"))
-    part = F.slice(F.array(*members), 1, F.col("span"))
-    text = F.transform(part, lambda m: m["text"])
-    text = F.array_join(F.when(backwards, F.reverse(text)).otherwise(text), " ")
-
-    def edge(pick, name: str) -> Column:
-        return pick(F.transform(part, lambda m: m[name]))
-
     return hits.filter(hit["field"].isNotNull()).select(
-        "doc_id", "page", "row_id", "pos", "span", hit["field"].alias("field"), text.alias("text"),
-        hit["score"].alias("score"), edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"),
-        edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))
+        "doc_id", "page", "row_id", "pos", "span", hit["field"].alias("field"),
+        F.when(backwards, F.col("rl_text")).otherwise(F.col("lr_text")).alias("text"), hit["score"].alias("score"), *BOX)
 
 
 def _label_order() -> list[Column]:

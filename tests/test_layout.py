@@ -276,3 +276,60 @@ def test_words_meet_labels_without_columns_nobody_reads(spark):
     assert "unread" not in plan
     near = {r.word_idx: r for r in found.collect()}
     assert near[4].w.text == "unread" and near[4].l.field == "f" and near[4].relation == "same_row"
+
+
+def moved(df):
+    """What the plan of `df` shuffles: the columns of each exchange."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [p.split("\n")[1] for p in plan.split("\n\n") if " Exchange\n" in p]
+
+
+def placed(spark, lines):
+    """Texts that lie by document, their words, and the same words from a table of no order."""
+    from docketry.checks import layout as checks
+    from docketry.session import settle_by
+
+    texts = spark.createDataFrame(lines, "doc_id long, text string")
+    by_doc = settle_by(texts, "doc_id")
+    return by_doc, checks.words(None, lambda d: by_doc), spark.createDataFrame(
+        checks.words(None, lambda d: texts).collect(), checks.words(None, lambda d: texts).schema)
+
+
+def spy(monkeypatch, spark):
+    """Plans of everything that the layout operators and the vehicle plan settle."""
+    from docketry import session
+
+    seen = []
+
+    def settle(df, in_place=False):
+        with session._in_place(spark) if in_place else session.nullcontext():
+            seen.append(moved(df.select("*")))
+        return session.settle(df, in_place)
+
+    def settle_by(df, key):
+        with session._in_place(spark):
+            seen.append(moved(df.select("*")))
+        return session.settle_by(df, key)
+
+    for module in (op, vehicle):
+        monkeypatch.setattr(module, "settle", settle)
+        monkeypatch.setattr(module, "settle_by", settle_by)
+    return seen
+
+
+LINES = [(i, f"the call 555{i}\nsee Jo Doe\ncar number 12345{i:02} id 77{i}\non the one pay 5/3/2027\nplain words") for i in range(12)]
+TERMS = {"vehicle_number": ["car", "number"], "id_number": ["id"], "policy_number": ["call"],
+         "agent_number": ["on the", "the one"], "policy_holder": ["see"], "insurance_start": ["pay"]}
+
+
+def test_words_that_lie_by_document_are_not_shuffled_for_labels(spark, monkeypatch):
+    _, words_by_doc, loose = placed(spark, LINES)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(map(tuple, op.label_hits(op.visual_rows(loose), TERMS).collect()))
+        seen = spy(monkeypatch, spark)
+        hits = op.label_hits(op.visual_rows(words_by_doc), TERMS, heights=op.median_word_height(words_by_doc))
+        assert sorted(map(tuple, hits.collect())) == want and len(want) > 50
+        assert seen and not [x for plan in seen + [moved(hits)] for x in plan if "word_idx#" in x or "w0#" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
