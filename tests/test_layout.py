@@ -333,3 +333,23 @@ def test_words_that_lie_by_document_are_not_shuffled_for_labels(spark, monkeypat
         assert seen and not [x for plan in seen + [moved(hits)] for x in plan if "word_idx#" in x or "w0#" in x]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_that_lie_by_document_are_not_shuffled_for_texts(spark, monkeypatch):
+    from docketry.session import settle_by
+
+    _, words_by_doc, loose = placed(spark, LINES)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = settle_by(op.visual_rows(words_by_doc), "doc_id")
+        labels = op.label_hit_dedupe(op.label_hits(rows, TERMS)).filter("field = 'policy_holder'").localCheckpoint()
+        want = sorted(map(tuple, op.resolve_text_field(labels, op.visual_rows(loose), TERMS).collect()))
+        seen = spy(monkeypatch, spark)
+        found = op.resolve_text_field(labels, rows, TERMS)
+        assert sorted(map(tuple, found.collect())) == want and len(want) == 12
+        everything = [x for plan in seen + [moved(found)] for x in plan]
+        assert seen and not [x for x in everything if " ws#" in x or "w_text#" in x]
+        # once, to learn which are labels, as no table is broadcast here
+        assert len([x for x in everything if "source#" in x and "row_id#" in x]) <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
