@@ -353,3 +353,22 @@ def test_words_that_lie_by_document_are_not_shuffled_for_texts(spark, monkeypatc
         assert len([x for x in everything if "source#" in x and "row_id#" in x]) <= 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_that_lie_by_document_are_not_shuffled_for_fields(spark, monkeypatch):
+    texts, words_by_doc, loose = placed(spark, [*LINES, (50, LINES[3][1])])
+    vehicles = spark.createDataFrame([("1234503", "a")], "normalized_number string, registration_number string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = vehicle.process_vehicle_documents(loose, texts, vehicles, None, TERMS)
+        want = [sorted(map(str, want[k].collect())) for k in ("documents", "fields", "candidates")]
+        seen = spy(monkeypatch, spark)
+        done = vehicle.process_vehicle_documents(words_by_doc, texts, vehicles, None, TERMS)
+        assert [sorted(map(str, done[k].collect())) for k in ("documents", "fields", "candidates")] == want
+        assert len(want[0]) == 12 and len(want[1]) > 30
+        everything = [x for plan in seen for x in plan]
+        assert seen and not [x for x in everything if " ws#" in x or "w_text#" in x and "w_value#" not in x and "l_text#" not in x]
+        # once, to learn which are labels, as no table is broadcast here; tokens that may be vehicle numbers move too
+        assert len([x for x in everything if "source#" in x and "row_id#" in x and "value#" not in x]) <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
