@@ -142,3 +142,45 @@ def test_gram_hashes_mix_each_character_once(monkeypatch):
     monkeypatch.setattr(g, "mixed", lambda x: calls.append(len(x)) or plain(x))
     assert grams(of, 8).tolist() == expected
     assert len(calls) == 2
+
+
+def test_texts_whose_lengths_rule_them_out_are_not_sent(spark, monkeypatch):
+    """They share a passage, so they meet at a key; one that lies in another is found all the same."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120)).strip()
+    sizes = [220, 300, 900, 2700, 8000]
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(n)) + " " + passage, float(n)) for i, n in enumerate(sizes)]
+    rows.append((9, rows[2][1][100:700], 1.0))
+    sent, plain = [], nc._alike
+
+    def alike(pairs, texts, threshold):
+        sent.extend(tuple(r) for r in pairs.select("id", "by").collect())
+        return plain(pairs, texts, threshold)
+
+    monkeypatch.setattr(nc, "_alike", alike)
+    assert answer(spark, rows) == by_force(rows)
+    assert set(sent) <= {(0, 1), (1, 0), (9, 2), (2, 9)} and (9, 2) in sent
+
+
+def test_beginnings_rule_out_only_what_is_not_alike(monkeypatch):
+    from docketry.operators import similarity
+
+    rng, ruled, alike = random.Random(10), 0, 0
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh", "aé日😀xyz "])
+        a = [rng.choice(letters) for _ in range(rng.randint(100, 400))]
+        b = list(a) if rng.random() < 0.8 else [rng.choice(letters) for _ in a]
+        for _ in range(int(len(a) * rng.random() * 0.4)):  # also many edits at the start only
+            at = rng.randrange(1 + (len(b) if rng.random() < 0.5 else len(b) // 4))
+            b[at:at + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(2)
+        a, b = "".join(a), "".join(b)
+        for threshold in (0.6, 0.85, 0.95):
+            no = similarity.starts_too_differently(a, b, threshold)
+            assert not (no and ratio(a, b) >= threshold), (a, b)
+            ruled, alike = ruled + no, alike + (ratio(a, b) >= threshold)
+    assert ruled > 300 and alike > 1000
+    # of two long texts with nothing in common only the beginnings are read
+    steps, plain = [], similarity.open_bits_of
+    monkeypatch.setattr(similarity, "open_bits_of", lambda x, y: steps.append(len(y)) or plain(x, y))
+    a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(4000)) for _ in range(2))
+    assert not at_least(a, b, 0.85) and sum(steps) < 2000
