@@ -177,6 +177,26 @@ def test_a_file_per_document_needs_no_folder_per_document(spark, tmp_path):
     assert not [n for n in os.listdir(f"{root}/{folder}") if os.path.isdir(f"{root}/{folder}/{n}")]
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from docketry.sources import files, sinks
+
+    rows = [(i, "" if i == 7 else f"é {i}\nx") for i in range(300)] + [(None, "nobody's")]
+    texts = spark.createDataFrame(rows, "name long, text string").repartition(3)
+    folder = f"file://{tmp_path}/texts"
+    sinks.write_text_files(texts, folder)
+    sinks.write_text_files(texts.filter("name < 5"), folder)  # as a task that runs again
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = files.read_text_documents(spark, folder)
+        assert found.rdd.getNumPartitions() <= 16
+        assert sorted(r.text for r in found.collect()) == sorted(t + "\n" for _, t in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "none").mkdir()
+    sinks.write_text_files(texts.limit(0), f"{tmp_path}/none")
+    assert files.read_text_documents(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_text_without_signs_is_not_searched(spark):
     """A run that a search for addresses would go through once per letter; signs further on are still found."""
     import time
